@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import canonical, frequency, pieces
+from quirelake.llm import canonical, frequency, pieces, sentences
 from quirelake.operators.delivery import latest
 from quirelake.session import table
 
@@ -44,6 +44,11 @@ def p2_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, long_only=False).groupBy("unit_id").agg(F.count("*").cast("int").alias("lines"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    units = table(spark, folder, "manifest_units")
+    return sentences.sentences(units, sentences.train(sentences.sample(units)))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     terms, units = table(spark, folder, "term_candidates"), table(spark, folder, "manifest_units")
     sources = canonical.same_look_pairs(terms, "cand_id", "source", "source", by="loaded_at")
@@ -86,5 +91,5 @@ def p6_terms(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.term_counts(values, "tokens", ["count", "lines", "rows"], "cand_id").select("ngram", "n", "count", "lines", "occurrences", "records")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms}
 ORACLE: dict[str, str] = {}
