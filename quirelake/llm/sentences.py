@@ -23,7 +23,7 @@ from quirelake.llm.canonical import canonical
 from quirelake.llm.linear import Logistic, slots
 from quirelake.operators.delivery import latest
 
-TRAIN_ROWS = 8_000  # bound of the labelled sample
+TRAIN_ROWS = 10_000  # bound of the labelled sample
 ONE_SENTENCE_KINDS = ("heading", "toc", "index", "bibliography", "table_cell")
 ONE_SENTENCE_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "td", "th")
 
@@ -200,7 +200,7 @@ def train(texts: list[str]) -> Logistic:
         cases[(*key[:5], 0 if wide or i % 8 == 0 else 1, r, word, key[8]), 1] += 1
     for key in inside:
         left = _left(key)
-        never = left_inside[left] >= 4 and left_end[left] <= 0.004 * left_inside[left]
+        never = left_inside[left] >= 16 and left_end[left] <= 0.004 * left_inside[left]
         if key[6] in ("lower", "goes on") or never or key[7] == "と":
             cases[key, 0] += 1
     model = Logistic()
