@@ -138,6 +138,8 @@ def _place(text: str, m: re.Match) -> tuple | None:
         left = text[a - 30 if a > 30 else 0 : a].rsplit(None, 2)
         n = len(left)
         l1 = _LEFT[left[-1]] if n else "-"
+        if l1 == "thai" and chunk[0] == ".":  # Thai closes no sentence with a stop, only abbreviations
+            return None
         l2 = _SECOND[left[-2]] if n > 1 else ""
         head = n < 2 and a < 40
     else:
@@ -205,13 +207,14 @@ def train(texts: list[str]) -> Logistic:
             cases[key, 0] += 1
     model = Logistic()
     positive = sum(n for (_, y), n in cases.items() if y)
-    negative = sum(cases.values()) - positive
     if not positive:
         model.weights[-1] = 1.0
         return model
     order = sorted(cases)
-    share = np.array([cases[k] / (positive if k[1] else negative) for k in order])
-    return model.fit([_features(k) for k, _ in order], np.array([y for _, y in order]), share, rounds=80)
+    share = np.array([cases[k] ** 0.5 for k in order])  # frequent keys shall not drown the rest
+    y = np.array([k[1] for k in order])
+    share = share / np.where(y == 1, share[y == 1].sum(), share[y == 0].sum())
+    return model.fit([_features(k) for k, _ in order], y, share, rounds=80)
 
 
 class Splitter:
