@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.canonical import INVISIBLE
+from quirelake.session import spread
 
 GRAM = 5
 SHARE, REPLACED = 0.5, 0.1
@@ -153,4 +154,4 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             rows = [(d, *x) for d, t in batch.itertuples(index=False) if t for x in found(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "first_token", "last_token"])
 
-    return documents.select("doc_id", "text").filter(F.length("text") > 0).mapInPandas(scan, "doc_id long, item_id long, words int, first_token int, last_token int")
+    return spread(documents.select("doc_id", "text").filter(F.length("text") > 0)).mapInPandas(scan, "doc_id long, item_id long, words int, first_token int, last_token int")

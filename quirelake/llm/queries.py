@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import canonical, frequency, leaks, pieces, sentences
+from quirelake.llm import canonical, frequency, garble, leaks, pieces, sentences
 from quirelake.operators.delivery import latest
 from quirelake.session import table
 
@@ -95,5 +95,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p8_found": p8_found}
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return garble.garbled(documents, garble.language(documents))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return garble.garbled(documents, garble.language(documents), restore=False).select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE: dict[str, str] = {}

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quirelake.llm.canonical import canonical
 from quirelake.llm.linear import Logistic, slots
 from quirelake.operators.delivery import latest
+from quirelake.session import spread
 
 TRAIN_ROWS = 10_000  # bound of the labelled sample
 ONE_SENTENCE_KINDS = ("heading", "toc", "index", "bibliography", "table_cell")
@@ -287,7 +288,7 @@ def sentences(units: DataFrame, model: Logistic) -> DataFrame:
             spans = pa.array([splitter.spans(t, o) if t else [] for t, o in zip(texts, ones)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("unit_id"), batch.column("loaded_at"), spans], ["unit_id", "loaded_at", "spans"])
 
-    cut = rows.mapInArrow(split, "unit_id long, loaded_at timestamp, spans array<int>")
+    cut = spread(rows).mapInArrow(split, "unit_id long, loaded_at timestamp, spans array<int>")
     once = latest(cut, ["unit_id"], tie=["spans"])
     each = F.transform(F.sequence(F.lit(1), (F.size("spans") / 2).cast("int")), lambda i: F.struct(i.alias("sentence_no"), F.element_at("spans", 2 * i - 1).alias("start_pos"), F.element_at("spans", 2 * i).alias("end_pos")))
     return once.filter(F.size("spans") > 0).select("unit_id", F.inline(each))
