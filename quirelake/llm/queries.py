@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import canonical, frequency, garble, leaks, pieces, sentences
+from quirelake.llm import canonical, defects, frequency, garble, leaks, pieces, sentences, truncation
 from quirelake.operators.delivery import latest
 from quirelake.session import table
 
@@ -24,6 +24,19 @@ def _candidates(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "term_candidates"), ["cand_id"])
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "eval_pairs")).filter("truncated").select("pair_id")
+
+
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.rates(table(spark, folder, "eval_pairs"))
+
+
+def p1_hazards(spark: SparkSession, folder: str) -> DataFrame:
+    """The lengths at which a system's texts break off more often than at neighbouring ones."""
+    return truncation.hazards(truncation.looked_at(table(spark, folder, "eval_pairs"))).filter("significant").drop("significant")
+
+
 def _pieces(spark: SparkSession, folder: str, long_only: bool) -> DataFrame:
     limit, overlap = int(setting(spark, folder, "llm_chunk_chars")), int(setting(spark, folder, "llm_chunk_overlap_chars"))
     return pieces.split_units(table(spark, folder, "manifest_units"), limit, overlap, long_only)
@@ -70,6 +83,10 @@ def term_values(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("value", "book_id").agg(F.sum("count").alias("count"), F.sum("lines").alias("lines"), F.count("*").alias("rows"), F.min("cand_id").alias("cand_id"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.defects(table(spark, folder, "eval_pairs"))
+
+
 def p6_values(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct value: its name (least cand_id), totals of count and lines, number of records and books, and mark."""
     least = int(setting(spark, folder, "term_min_total"))
@@ -105,5 +122,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return garble.garbled(documents, garble.language(documents), restore=False).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_hazards": p1_hazards, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE: dict[str, str] = {}
