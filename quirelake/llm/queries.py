@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import canonical, defects, frequency, garble, leaks, pieces, sentences, truncation
+from quirelake.llm import canonical, defects, frequency, garble, leaks, packing, pieces, sentences, truncation
 from quirelake.operators.delivery import latest
 from quirelake.session import table
 
@@ -108,6 +108,10 @@ def p6_terms(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.term_counts(values, "tokens", ["count", "lines", "rows"], "cand_id").select("ngram", "n", "count", "lines", "occurrences", "records")
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(table(spark, folder, "documents"), int(setting(spark, folder, "llm_input_max_length")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -122,5 +126,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return garble.garbled(documents, garble.language(documents), restore=False).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_hazards": p1_hazards, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_hazards": p1_hazards, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE: dict[str, str] = {}
