@@ -63,8 +63,8 @@ def reject_reason(c: Column | str) -> Column:
         .when(low.isin(*STRUCTURAL_RESIDUES), "markup")
         .when(t.rlike(r"(?i)^(\?|<\?)?xml($|[^\p{L}\p{N}_])"), "xml declaration")
         .when(t.rlike(r"(?i)^(https?://|www\.)[^\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+$"), "url")
-        .when(t.rlike(r"^[0-9]{1,4}$"), "number")
-        .when(F.lower(F.btrim(t, F.lit("[](){}.,;: "))).isin(*ROMAN_PAGES), "roman page")
+        .when(t.rlike(r"^[\[(]?[0-9]{1,4}[\])]?\.?$"), "number")
+        .when(F.lower(F.btrim(t, F.lit("[](){}.,;:"))).isin(*ROMAN_PAGES), "roman page")
         .when(t.rlike(r"^[^\p{L}\p{N}]+$"), "punctuation")
     )
 

@@ -1,0 +1,215 @@
+"""Terminology: candidates mined from lines, the memory of decided terms, the terms relevant to a text."""
+
+from __future__ import annotations
+
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quirelake.functions.text import WS, normalize_text
+
+# Words that are no terms by themselves, words too general to be terms, kinds that weigh more, titles before names.
+STOPWORDS = (
+    "a about after again against all am an and any are as at also be been being because before between both but by can could did do does done during each either else even "
+    "ever every first for from had has have he her hers him his how i i'd i'll i'm i've if into is it it's its me my no nor not of off on once only or other our out over same "
+    "she so some should such than that that's the their them then there there's these they this those through to too under up us was we well were what what's when where which "
+    "who who's whom whose why while with would yes you you'd you'll you're you've your yours"
+).split()
+GENERIC = "book door end family friend girl going hall home house know last letter man men more one people police room rooms said say says see still tell tells thing things think time two way wife woman".split()
+PRIORITY_KINDS = ("heading", "toc", "metadata", "caption")
+TITLES = "captain dr father lady lord madame madam miss mr mrs ms professor reverend sir".split()
+UPPER, LETTER = "A-ZÀ-ÖØ-Þ", "A-Za-zÀ-ÖØ-öø-ÿ"
+ACRONYM = r"\b[A-Z][A-Z0-9&.-]{1,}\b"
+CAPITALIZED = rf"\b[{UPPER}][{LETTER}0-9'’.-]+(?:\s+(?:[{UPPER}][{LETTER}0-9'’.-]+|(?:of|and|the|for|in|on|to|de|la|le|van|von|da|di|du)\b)){{0,5}}"
+HYPHENATED = rf"\b[{LETTER}][{LETTER}]+(?:-[{LETTER}][{LETTER}]+)+\b"
+PHRASE_WORD = rf"[{LETTER}][{LETTER}'’-]{{2,}}"
+CANDIDATES, MEMORY, RELEVANT = 400, 200, 35
+EDGE = " \t\r\n.,;:!?()[]{}<>\"'“”‘’"
+DASHES = "‐‑‒–—−"
+
+
+def _words(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def clean(c: Column) -> Column:
+    """Dashes to hyphens, punctuation off the ends, white space collapsed."""
+    return normalize_text(F.btrim(F.translate(c, DASHES, "-" * len(DASHES)), F.lit(EDGE)))
+
+
+def singular(w: Column) -> Column:
+    plain = (F.length(w) <= 4) | F.contains(w, F.lit("'")) | F.contains(w, F.lit("’"))
+    return (
+        F.when(plain, w)
+        .when(w.endswith("ies"), F.concat(F.left(w, F.length(w) - 3), F.lit("y")))
+        .when(w.endswith("es") & ~w.endswith("ses") & ~w.endswith("xes"), F.left(w, F.length(w) - 2))
+        .when(w.endswith("s") & ~w.endswith("ss") & ~w.endswith("us"), F.left(w, F.length(w) - 1))
+        .otherwise(w)
+    )
+
+
+def key(c: Column) -> Column:
+    """The form under which spellings of a term meet."""
+    k = F.replace(F.lower(clean(c)), F.lit("ß"), F.lit("ss"))
+    k = F.translate(k, "’‘", "''")
+    k = F.regexp_replace(F.regexp_replace(k, "[._/]+", " "), WS + "*-" + WS + "*", "-")
+    k = normalize_text(F.regexp_replace(k, r"[^\p{L}\p{N}_\t-\r\x{1c}-\x{20}\x{85}\p{Z}'’-]+", " "))
+    return F.array_join(F.transform(F.split(k, " "), singular), " ")
+
+
+def allowed(c: Column) -> Column:
+    """Whether a cleaned candidate may be a term."""
+    k = key(c)
+    words = F.filter(F.split(k, " "), lambda w: w != "")
+    one = F.when(F.size(words) == 1, F.try_element_at(words, F.lit(1)))
+    stop, no = _words(STOPWORDS), _words(STOPWORDS + GENERIC)
+    short = F.coalesce((F.length(one) <= 2) & (F.upper(c) != c), F.lit(False))
+    return (
+        F.length(c).between(2, 90)
+        & ~c.rlike(r"(?i)^(https?://|www\.)\S+$")
+        & c.rlike(r"\p{L}")
+        & ~F.array_contains(stop, k)
+        & ~short
+        & ~F.forall(words, lambda w: F.array_contains(no, w))
+    )
+
+
+def family_hits(lines: DataFrame, family: str) -> DataFrame:
+    """(book_id, line_idx, kind, pos, match) of one family of patterns (acronym, capitalized, hyphenated) in the lines, URLs aside."""
+    pattern = {"acronym": ACRONYM, "capitalized": CAPITALIZED, "hyphenated": HYPHENATED}[family]
+    text = F.regexp_replace("text", r"(?i)(https?://|www\.)\S+", " ")
+    return lines.select("book_id", "line_idx", "kind", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "match"))
+
+
+def phrase_hits(lines: DataFrame) -> DataFrame:
+    """(book_id, line_idx, pos, phrase): runs of two and three words that neither begin nor end with a stop word, hold at most one, and are not all general."""
+    text = F.regexp_replace("text", r"(?i)(https?://|www\.)\S+", " ")
+    words = F.transform(F.regexp_extract_all(text, F.lit(PHRASE_WORD), F.lit(0)), F.lower)
+    rows = lines.select("book_id", "line_idx", words.alias("w")).filter(F.size("w") >= 3)
+    stop, no = _words(STOPWORDS), _words(STOPWORDS + GENERIC)
+    grams = None
+    for n in (2, 3):
+        at = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.slice("w", i, n))
+        part = rows.select("book_id", "line_idx", F.posexplode(at).alias("pos", "g")).withColumn("pos", F.col("pos") + (n - 2) * 1_000_000)
+        grams = part if grams is None else grams.unionByName(part)
+    ok = ~F.array_contains(stop, F.try_element_at("g", F.lit(1))) & ~F.array_contains(stop, F.try_element_at("g", F.lit(-1)))
+    ok = ok & (F.size(F.filter("g", lambda w: F.array_contains(stop, w))) <= 1) & ~F.forall("g", lambda w: F.array_contains(no, singular(w)))
+    return grams.filter(ok).select("book_id", "line_idx", "pos", F.array_join("g", " ").alias("phrase"))
+
+
+def candidates(lines: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """(book_id, rank, source, score, count, lines) of the ``limit`` best term candidates of each book. Lines need book_id, line_idx,
+    text, kind (null: body). Scored by occurrences, lines and kinds; shown as first seen. All aggregations are partial before they
+    shuffle; a hot book spreads over its keys until the last ranking of its candidates."""
+    hits = None
+    for i, family in enumerate(("acronym", "capitalized", "hyphenated")):
+        part = family_hits(lines, family).select("book_id", "line_idx", "kind", (F.lit(i) * 1_000_000 + F.col("pos")).alias("pos"), clean(F.col("match")).alias("shown"))
+        hits = part if hits is None else hits.unionByName(part)
+    hits = hits.withColumn("key", key(F.col("shown"))).filter("key <> ''").withColumn("ok", allowed(F.col("shown")))
+    kind = F.coalesce("kind", F.lit("body"))
+    weight = F.when(kind.isin(*PRIORITY_KINDS), 2).when(kind != "body", 1).otherwise(0)
+    counted = hits.groupBy("book_id", "key").agg(
+        F.count(F.when(F.col("ok"), 1)).alias("n"), F.countDistinct(F.when(F.col("ok"), F.col("line_idx"))).alias("l"), F.sum(F.when(F.col("ok"), weight).otherwise(0)).alias("p"), F.min_by("shown", F.struct("line_idx", "pos")).alias("shown"), F.min(F.struct("line_idx", "pos")).alias("at")
+    )
+    phrases = phrase_hits(lines).withColumn("key", key(F.col("phrase"))).filter("key <> ''")
+    repeated = phrases.groupBy("book_id", "key").agg(F.count("*").alias("pn"), F.countDistinct("line_idx").alias("pl"), F.min_by("phrase", F.struct("line_idx", "pos")).alias("phrase"), F.min(F.struct("line_idx", (F.col("pos") + 9_000_000).alias("pos"))).alias("pat"))
+    # lines of a key that has hits of both kinds are counted once
+    line_sets = hits.filter("ok").select("book_id", "key", "line_idx").unionByName(phrases.join(repeated.filter("pn >= 2 and pl >= 2").select("book_id", "key"), ["book_id", "key"], "left_semi").select("book_id", "key", "line_idx")).groupBy("book_id", "key").agg(F.countDistinct("line_idx").alias("lines"))
+    both = counted.join(repeated, ["book_id", "key"], "full").join(line_sets, ["book_id", "key"])
+    strong = (F.col("pn") >= 2) & (F.col("pl") >= 2)
+    n = F.coalesce("n", F.lit(0)) + F.when(strong, F.col("pn")).otherwise(0)
+    shown = F.when(F.col("pat") < F.coalesce("at", "pat"), F.col("phrase")).otherwise(F.coalesce("shown", "phrase"))
+    scored = both.select("book_id", "key", shown.alias("source"), n.alias("count"), "lines", F.coalesce("p", F.lit(0)).alias("p")).filter("count > 0")
+    single = F.size(F.split("source", " ")) == 1
+    acronym = (F.upper("source") == F.col("source")) & F.col("source").rlike(r"\p{L}")
+    kept = scored.filter(~((F.col("count") < 2) & (F.col("lines") < 2) & (F.col("p") < 2)) & ~(single & ~acronym & (F.col("lines") < 2)))
+    kept = kept.withColumn("score", F.col("count") + 2 * F.col("lines") + F.col("p"))
+    order = Window.partitionBy("book_id").orderBy(F.desc("score"), F.lower("source"), "key")
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("book_id", "rank", "source", "score", "count", "lines")
+
+
+def entries(memory: DataFrame) -> DataFrame:
+    """Usable entries of the memory (book_id, section, ord, source, target), one a key: proper names first, then terms, in order."""
+    rows = memory.select("book_id", "section", "ord", F.trim("source").alias("source"), F.trim("target").alias("target")).filter("source <> '' and target <> ''").withColumn("key", key(F.col("source"))).filter("key <> ''")
+    first = Window.partitionBy("book_id", "key").orderBy(F.when(F.col("section") == "proper_names", 0).otherwise(1), "ord", "source", "target")
+    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+
+
+def match_keys(source: Column) -> Column:
+    """Keys under which a source is looked for: its spellings, those of its capitalised parts that may be terms, and of its last part."""
+    parts = F.filter(F.transform(F.split(clean(source), r"[\s/-]+"), clean), lambda p: p != "")
+    no = _words(STOPWORDS + TITLES)
+    plain = F.filter(parts, lambda p: (key(p) != "") & ~F.array_contains(no, key(p)))
+    named = F.filter(plain, lambda p: allowed(p) & F.left(p, F.lit(1)).rlike(r"\p{Lu}"))
+    tail = F.when(F.size(parts) > 1, F.slice(F.reverse(plain), 1, 1)).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(F.array(key(source)), F.transform(named, key), F.transform(tail, key))
+    spelled = F.flatten(F.transform(keys, lambda k: F.array(k, F.replace(k, F.lit("-"), F.lit(" ")), F.replace(k, F.lit(" "), F.lit("-")))))
+    return F.array_distinct(F.filter(spelled, lambda k: k != ""))
+
+
+def relevant(lines: DataFrame, memory: DataFrame, limit: int = RELEVANT) -> DataFrame:
+    """(book_id, line_idx, rank, source, target): the memory's terms that occur in each line as whole words, longest first.
+
+    Candidates come from an equi-join of word shingles, as long as the longest term, with the terms' keys; the whole-word test then
+    holds over the normalised line. Nothing is broadcast by hand and no line meets a term it shares no words with."""
+    keys = entries(memory).withColumn("look", F.explode(match_keys(F.col("source"))))
+    pieces = keys.withColumn("shingle", F.array_join(F.filter(F.split("look", "[ -]"), lambda w: w != ""), " ")).filter("shingle <> ''").withColumn("size", F.size(F.split("shingle", " ")))
+    sizes = pieces.select("book_id", "size").distinct().groupBy("book_id").agg(F.collect_set("size").alias("sizes"))
+    text = lines.filter(F.length("text") > 0).select("book_id", "line_idx", key(F.col("text")).alias("hay")).filter("hay <> ''")
+    # every boundary of words is a shingle border: characters that are no word characters part words
+    words = text.join(sizes, "book_id").withColumn("w", F.filter(F.split("hay", r"[^\p{L}\p{N}_'’]+"), lambda w: w != ""))
+    shingles = words.select("book_id", "line_idx", "hay", "w", F.explode("sizes").alias("n")).filter("size(w) >= n")
+    shingles = shingles.select("book_id", "line_idx", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))).alias("shingle"))
+    hit = shingles.join(pieces.select("book_id", "shingle", "look", "source", "target", "key"), ["book_id", "shingle"])
+    padded = F.regexp_replace("hay", r"[^\p{L}\p{N}_'’-]", " ")
+    around = F.concat(F.lit(" "), padded, F.lit(" "))
+    sure = hit.filter(F.expr("regexp_instr(hay, concat('(^|[^\\\\p{L}\\\\p{N}_])\\\\Q', look, '\\\\E($|[^\\\\p{L}\\\\p{N}_])')) > 0") | F.contains(around, F.concat(F.lit(" "), F.col("look"), F.lit(" "))))
+    once = sure.groupBy("book_id", "line_idx", "key").agg(F.min("source").alias("source"), F.min_by("target", "source").alias("target"))
+    order = Window.partitionBy("book_id", "line_idx").orderBy(F.desc(F.length("source")), F.lower("source"), "source")
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("book_id", "line_idx", "rank", "source", "target")
+
+
+HEADER = "Locked terminology for consistency. If any source term below appears in the Text section, you MUST use exactly the target translation shown. Do not invent alternative transliterations or mix variants:"
+
+
+def section(found: DataFrame) -> DataFrame:
+    """(book_id, line_idx, terminology): the relevant terms of a line as a prompt section."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), F.col("source"), F.lit(" => "), F.col("target")).alias("t"))))
+    text = F.concat(F.lit(HEADER + "\n"), F.array_join(F.transform(rows, lambda x: x["t"]), "\n"), F.lit("\n\n"))
+    return found.groupBy("book_id", "line_idx").agg(text.alias("terminology"))
+
+
+def parse_memory(answer: str) -> dict[str, list[dict[str, str]]]:
+    """The terms and proper_names of a model's JSON answer; fences, text around it, trailing and missing commas are repaired. Raises ValueError where nothing can be read."""
+    text = re.sub(r"^```\w*\s*|\s*```$", "", answer.lstrip("﻿").strip())
+    a, b = text.find("{"), text.rfind("}")
+    if a < 0 or b <= a:
+        raise ValueError("no JSON object in the answer")
+    body = text[a : b + 1]
+    repaired = re.sub(r",(\s*[}\]])", r"\1", re.sub(r"}(\s*){", r"},\1{", body))
+    repaired = re.sub(r'("(?:source|target)"\s*:\s*"(?:[^"\\]|\\.)*")(\s*)(?="(?:source|target)")', r"\1,\2", repaired)
+    for attempt in (body, repaired):
+        try:
+            got = json.loads(attempt)
+        except json.JSONDecodeError:
+            continue
+        if isinstance(got, dict):
+            return {k: [e for e in map(_entry, got.get(k) or []) if e] for k in ("terms", "proper_names")}
+    out: dict[str, list[dict[str, str]]] = {"terms": [], "proper_names": []}
+    for m in re.finditer(r"\{[^{}]*\}", body):
+        fields = dict(re.findall(r'"(source|target)"\s*:\s*"((?:[^"\\]|\\.)*)"', m.group()))
+        if len(fields) == 2:
+            before = body[: m.start()]
+            out["proper_names" if before.rfind('"proper_names"') > before.rfind('"terms"') else "terms"].append({"source": fields["source"], "target": fields["target"]})
+    if not any(out.values()):
+        raise ValueError("no entries in the answer")
+    return out
+
+
+def _entry(e) -> dict[str, str] | None:
+    if not isinstance(e, dict):
+        return None  # a bare string has no target
+    source, target = str(e.get("source") or "").strip(), str(e.get("target") or "").strip()
+    return {"source": source, "target": target} if source and target else None
