@@ -30,10 +30,6 @@ EDGE = " \t\r\n.,;:!?()[]{}<>\"'“”‘’"
 DASHES = "‐‑‒–—−"
 
 
-def _words(values) -> Column:
-    return F.array(*map(F.lit, values))
-
-
 def clean(c: Column) -> Column:
     """Dashes to hyphens, punctuation off the ends, white space collapsed."""
     return normalize_text(F.btrim(F.translate(c, DASHES, "-" * len(DASHES)), F.lit(EDGE)))
@@ -59,23 +55,27 @@ def key(c: Column) -> Column:
     return F.array_join(F.transform(F.split(k, " "), singular), " ")
 
 
-def allowed(c: Column) -> Column:
-    """Whether a cleaned candidate may be a term."""
-    k = key(c)
+def allowed(c: Column, k: Column | None = None) -> Column:
+    """Whether a cleaned candidate may be a term; ``k`` is its key where it is at hand."""
+    k = key(c) if k is None else k
     words = F.filter(F.split(k, " "), lambda w: w != "")
     one = F.when(F.size(words) == 1, F.try_element_at(words, F.lit(1)))
-    stop, no = _words(STOPWORDS), _words(STOPWORDS + GENERIC)
     short = F.coalesce((F.length(one) <= 2) & (F.upper(c) != c), F.lit(False))
     return (
         F.length(c).between(2, 90)
         & ~c.rlike(r"(?i)^(https?://|www\.)\S+$")
         & c.rlike(r"\p{L}")
-        & ~F.array_contains(stop, k)
+        & ~k.isin(*STOPWORDS)
         & ~short
-        & ~F.forall(words, lambda w: F.array_contains(no, w))
+        & ~F.forall(words, lambda w: w.isin(*STOPWORDS, *GENERIC))
     )
 
 
+def with_key(df: DataFrame, c: str) -> DataFrame:
+    """Adds the key of ``c``. The one-row generator keeps the optimizer from computing it again wherever it is used."""
+    return df.select("*", F.explode(F.array(key(F.col(c)))).alias("key")).filter("key <> ''")
+
+
 def family_hits(lines: DataFrame, family: str) -> DataFrame:
     """(book_id, line_idx, kind, pos, match) of one family of patterns (acronym, capitalized, hyphenated) in the lines, URLs aside."""
     pattern = {"acronym": ACRONYM, "capitalized": CAPITALIZED, "hyphenated": HYPHENATED}[family]
@@ -88,14 +88,13 @@ def phrase_hits(lines: DataFrame) -> DataFrame:
     text = F.regexp_replace("text", r"(?i)(https?://|www\.)\S+", " ")
     words = F.transform(F.regexp_extract_all(text, F.lit(PHRASE_WORD), F.lit(0)), F.lower)
     rows = lines.select("book_id", "line_idx", words.alias("w")).filter(F.size("w") >= 3)
-    stop, no = _words(STOPWORDS), _words(STOPWORDS + GENERIC)
     grams = None
     for n in (2, 3):
         at = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.slice("w", i, n))
-        part = rows.select("book_id", "line_idx", F.posexplode(at).alias("pos", "g")).withColumn("pos", F.col("pos") + (n - 2) * 1_000_000)
+        part = rows.filter(F.size("w") >= n).select("book_id", "line_idx", F.posexplode(at).alias("pos", "g")).withColumn("pos", F.col("pos") + (n - 2) * 1_000_000)
         grams = part if grams is None else grams.unionByName(part)
-    ok = ~F.array_contains(stop, F.try_element_at("g", F.lit(1))) & ~F.array_contains(stop, F.try_element_at("g", F.lit(-1)))
-    ok = ok & (F.size(F.filter("g", lambda w: F.array_contains(stop, w))) <= 1) & ~F.forall("g", lambda w: F.array_contains(no, singular(w)))
+    edge = F.try_element_at("g", F.lit(1)).isin(*STOPWORDS) | F.try_element_at("g", F.lit(-1)).isin(*STOPWORDS)
+    ok = ~edge & (F.size(F.filter("g", lambda w: w.isin(*STOPWORDS))) <= 1) & ~F.forall("g", lambda w: singular(w).isin(*STOPWORDS, *GENERIC))
     return grams.filter(ok).select("book_id", "line_idx", "pos", F.array_join("g", " ").alias("phrase"))
 
 
@@ -107,13 +106,13 @@ def candidates(lines: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     for i, family in enumerate(("acronym", "capitalized", "hyphenated")):
         part = family_hits(lines, family).select("book_id", "line_idx", "kind", (F.lit(i) * 1_000_000 + F.col("pos")).alias("pos"), clean(F.col("match")).alias("shown"))
         hits = part if hits is None else hits.unionByName(part)
-    hits = hits.withColumn("key", key(F.col("shown"))).filter("key <> ''").withColumn("ok", allowed(F.col("shown")))
+    hits = with_key(hits, "shown").withColumn("ok", allowed(F.col("shown"), F.col("key")))
     kind = F.coalesce("kind", F.lit("body"))
     weight = F.when(kind.isin(*PRIORITY_KINDS), 2).when(kind != "body", 1).otherwise(0)
     counted = hits.groupBy("book_id", "key").agg(
         F.count(F.when(F.col("ok"), 1)).alias("n"), F.countDistinct(F.when(F.col("ok"), F.col("line_idx"))).alias("l"), F.sum(F.when(F.col("ok"), weight).otherwise(0)).alias("p"), F.min_by("shown", F.struct("line_idx", "pos")).alias("shown"), F.min(F.struct("line_idx", "pos")).alias("at")
     )
-    phrases = phrase_hits(lines).withColumn("key", key(F.col("phrase"))).filter("key <> ''")
+    phrases = with_key(phrase_hits(lines), "phrase")
     repeated = phrases.groupBy("book_id", "key").agg(F.count("*").alias("pn"), F.countDistinct("line_idx").alias("pl"), F.min_by("phrase", F.struct("line_idx", "pos")).alias("phrase"), F.min(F.struct("line_idx", (F.col("pos") + 9_000_000).alias("pos"))).alias("pat"))
     # lines of a key that has hits of both kinds are counted once
     line_sets = hits.filter("ok").select("book_id", "key", "line_idx").unionByName(phrases.join(repeated.filter("pn >= 2 and pl >= 2").select("book_id", "key"), ["book_id", "key"], "left_semi").select("book_id", "key", "line_idx")).groupBy("book_id", "key").agg(F.countDistinct("line_idx").alias("lines"))
@@ -132,7 +131,8 @@ def candidates(lines: DataFrame, limit: int = CANDIDATES) -> DataFrame:
 
 def entries(memory: DataFrame) -> DataFrame:
     """Usable entries of the memory (book_id, section, ord, source, target), one a key: proper names first, then terms, in order."""
-    rows = memory.select("book_id", "section", "ord", F.trim("source").alias("source"), F.trim("target").alias("target")).filter("source <> '' and target <> ''").withColumn("key", key(F.col("source"))).filter("key <> ''")
+    rows = memory.select("book_id", "section", "ord", F.trim("source").alias("source"), F.trim("target").alias("target")).filter("source <> '' and target <> ''")
+    rows = with_key(rows, "source")
     first = Window.partitionBy("book_id", "key").orderBy(F.when(F.col("section") == "proper_names", 0).otherwise(1), "ord", "source", "target")
     return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
@@ -140,8 +140,7 @@ def entries(memory: DataFrame) -> DataFrame:
 def match_keys(source: Column) -> Column:
     """Keys under which a source is looked for: its spellings, those of its capitalised parts that may be terms, and of its last part."""
     parts = F.filter(F.transform(F.split(clean(source), r"[\s/-]+"), clean), lambda p: p != "")
-    no = _words(STOPWORDS + TITLES)
-    plain = F.filter(parts, lambda p: (key(p) != "") & ~F.array_contains(no, key(p)))
+    plain = F.filter(parts, lambda p: (key(p) != "") & ~key(p).isin(*STOPWORDS, *TITLES))
     named = F.filter(plain, lambda p: allowed(p) & F.left(p, F.lit(1)).rlike(r"\p{Lu}"))
     tail = F.when(F.size(parts) > 1, F.slice(F.reverse(plain), 1, 1)).otherwise(F.array().cast("array<string>"))
     keys = F.concat(F.array(key(source)), F.transform(named, key), F.transform(tail, key))
