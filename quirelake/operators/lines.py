@@ -17,10 +17,10 @@ def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, extension: str = "") -> DataFrame:
     """(path, line_idx, text) of the text files in a folder (or of one file)."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if extension:
         reader = reader.option("pathGlobFilter", f"*.{extension}")
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     return text_lines(files, "path", "value")
 
 
@@ -38,5 +38,6 @@ def parallel(pred: DataFrame, gold: DataFrame) -> DataFrame:
     a, b = pred.count(), gold.count()
     if a != b:
         raise ValueError(f"prediction has {a} lines, reference {b}")
-    g = gold.select("line_idx", F.array(F.trim("text")).alias("refs"))
-    return pred.select("line_idx", F.trim("text").alias("pred")).join(g, "line_idx")
+    left = pred.select(F.col("line_idx").alias("i"), F.trim("text").alias("pred"))
+    right = gold.select(F.col("line_idx").alias("j"), F.array(F.trim("text")).alias("refs"))
+    return left.join(right, F.col("i") == F.col("j")).select(F.col("i").alias("line_idx"), "pred", "refs")

@@ -88,9 +88,12 @@ def phrase_hits(lines: DataFrame) -> DataFrame:
     text = F.regexp_replace("text", r"(?i)(https?://|www\.)\S+", " ")
     words = F.transform(F.regexp_extract_all(text, F.lit(PHRASE_WORD), F.lit(0)), F.lower)
     rows = lines.select("book_id", "line_idx", words.alias("w")).filter(F.size("w") >= 3)
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, n))
+
     grams = None
     for n in (2, 3):
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.slice("w", i, n))
+        at = runs(n)
         part = rows.filter(F.size("w") >= n).select("book_id", "line_idx", F.posexplode(at).alias("pos", "g")).withColumn("pos", F.col("pos") + (n - 2) * 1_000_000)
         grams = part if grams is None else grams.unionByName(part)
     edge = F.try_element_at("g", F.lit(1)).isin(*STOPWORDS) | F.try_element_at("g", F.lit(-1)).isin(*STOPWORDS)
