@@ -91,11 +91,11 @@ def p6_values(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct value: its name (least cand_id), totals of count and lines, number of records and books, and mark."""
     least = int(setting(spark, folder, "term_min_total"))
     share = float(setting(spark, folder, "term_max_book_share"))
-    books = table(spark, folder, "term_candidates").agg(F.countDistinct("book_id").alias("all_books"))
+    books = table(spark, folder, "term_candidates").agg(F.countDistinct("book_id")).first()[0]
     values = term_values(spark, folder).withColumn("tokens", F.split("value", " "))
     counted = frequency.term_counts(values, "tokens", ["count", "lines", "rows"], "cand_id", whole=True)
-    mark = F.when(F.col("count") < least, "rare").when(F.col("records") > share * F.col("all_books"), "common")
-    return counted.crossJoin(F.broadcast(books)).select("cand_id", F.col("ngram").alias("value"), "count", "lines", F.col("rows").alias("records"), F.col("records").alias("books"), mark.alias("mark"))
+    mark = F.when(F.col("count") < least, "rare").when(F.col("records") > share * books, "common")
+    return counted.select("cand_id", F.col("ngram").alias("value"), "count", "lines", F.col("rows").alias("records"), F.col("records").alias("books"), mark.alias("mark"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
