@@ -115,6 +115,7 @@ class Language:
         self.one[0xFFFD] = 0
         self.alphabet = set(self.letters)
         self.common = {c for c in self.letters if self.one[ord(c)] >= max(5, self.total * 3e-5)} | set(map(chr, range(32, 127)))
+        self.fits: dict[tuple, list[str]] = {}
         self.known = self.alphabet | set(map(chr, range(128))) | set(map(chr, range(0x80, 0xA0)))
 
     def logs(self, text: str) -> np.ndarray:
@@ -139,6 +140,13 @@ class Language:
         p = 0.9 * self.three[three] / (self.two[before] + 2.0) + 0.09 * self.two[two] / (self.one[b.astype(np.int64)] + 2.0) + 0.01 * self.one[c.astype(np.int64)] / self.total + 1e-8
         return np.log(np.minimum(p, 1.0))
 
+    def fitting(self, part: tuple[int | None, ...]) -> list[str]:
+        """The known letters whose UTF-8 has these bytes; None stands for any byte."""
+        if part not in self.fits:
+            raws = ((c, c.encode("utf-8", "surrogatepass")) for c in self.letters)
+            self.fits[part] = [c for c, raw in raws if len(raw) == len(part) and all(x is None or x == y for x, y in zip(part, raw))]
+        return self.fits[part]
+
     def word(self, word: str) -> float:
         return float(self.words[_word_slot(word)])
 
@@ -218,10 +226,10 @@ def readings(text: str, lang: Language, rights: tuple[str, ...] = WRITTEN_IN) ->
     return out
 
 
-def lossy_readings(text: str) -> list[list[list[str]]]:
+def lossy_readings(text: str, lang: Language) -> list[list]:
     """Lattices (for each character its possible texts, None: a wildcard) of ``text`` with U+FFFD or undecodable rests."""
     out = []
-    if "�" in text:
+    if 0 < text.count("�") <= max(8, len(text) // 3):  # above that nothing is known of most letters: filling them in would be inventing
         out.append([[ch] if ch != "�" else None for ch in text])
     for wrong in READ_AS:
         raw = bytearray()
@@ -238,19 +246,30 @@ def lossy_readings(text: str) -> list[list[list[str]]]:
         else:
             if bytes(raw).isascii():
                 continue
-            lattice = _utf8_lattice(bytes(raw), set(holes))
-            if lattice is not None:
+            lattice = _utf8_lattice(bytes(raw), set(holes), lang)
+            if lattice is not None and lattice not in out:
                 out.append(lattice)
     return out
 
 
-def _utf8_lattice(raw: bytes, holes: set[int]) -> list | None:
-    """The UTF-8 reading of bytes of which those at ``holes`` are lost; a character with a lost byte becomes its possible characters."""
+def _utf8_lattice(raw: bytes, holes: set[int], lang: Language) -> list | None:
+    """The UTF-8 reading of bytes of which those at ``holes`` are lost; a character with lost bytes becomes the known letters that fit
+    the others, or U+FFFD where there are none. None where the characters
+    that bytes give are not more than those without a byte or with bytes that fit nothing: such a text can only be invented."""
     i, n, out, good = 0, len(raw), [], 0
     while i < n:
         b = raw[i]
         size = 1 if b < 0x80 else 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
-        if i in holes or not size:
+        if i in holes:  # a lost first byte: the bytes after it can only belong to its character
+            j = i + 1
+            while j < min(n, i + 4) and j not in holes and 0x80 <= raw[j] < 0xC0:
+                j += 1
+            chars = lang.fitting((None, *raw[i + 1 : j])) if j > i + 1 else None
+            good += bool(chars)
+            out.append(chars or None)
+            i = j if chars else i + 1
+            continue
+        if not size:
             out.append(None)
             i += 1
             continue
@@ -264,29 +283,23 @@ def _utf8_lattice(raw: bytes, holes: set[int]) -> list | None:
             j += 1
         if len(part) < size - 1:
             part += [None] * (size - 1 - len(part))
-        options = [bytes([b])]
-        for x in part:
-            options = [o + bytes([y]) for o in options for y in ([x] if x is not None else range(0x80, 0xC0))]
-            if len(options) > 64:
-                return None
-        chars = []
-        for o in options:
+        if None in part:
+            chars = lang.fitting((b, *part)) or ["�"]
+        else:
             try:
-                chars.append(o.decode())
+                chars = [bytes([b, *part]).decode()]
             except UnicodeDecodeError:
-                pass
-        if not chars:
-            return None
-        good += size > 1
+                return None
+        good += chars != ["�"]
         out.append(chars)
         i = j
-    return out if good else None
+    return out if good > out.count(None) + out.count(["�"]) else None
 
 
 def viterbi(lattice: list, lang: Language) -> str:
     """The most likely text of a lattice; paths that agree in their last two characters are merged. A wildcard may be any known letter,
     or nothing at all (one more lost byte of a character already read). A path that ends a word of the corpus gains."""
-    wild = [*lang.letters[:200], ""]
+    wild = [*lang.letters, ""]
     states: dict[str, tuple[float, str]] = {"\n\n": (0.0, "")}
     for options in lattice:
         if options is None:
@@ -298,7 +311,7 @@ def viterbi(lattice: list, lang: Language) -> str:
                 states = {(tail + choices[0])[-2:]: (value, text + choices[0])}
                 continue
         else:
-            choices = [c for c in options if c in lang.alphabet] or options[:1]
+            choices = options
         tails = list(states)
         full = [c for c in choices if c]
         logs = lang.next_logs(tails, full)
@@ -309,7 +322,8 @@ def viterbi(lattice: list, lang: Language) -> str:
             if len(states) > 1 and not full[0].isalpha() and (word := _LAST_WORD.search(text)) and lang.word(word.group()) >= 3:
                 bonus = 3.0
             row = logs[i]
-            for j in np.argsort(-row, kind="stable")[:BEAM].tolist():
+            best = np.argpartition(-row, BEAM)[:BEAM] if len(row) > BEAM else np.arange(len(row))
+            for j in best[np.argsort(-row[best], kind="stable")].tolist():
                 c = full[j]
                 new = (tail + c)[-2:]
                 total = value + bonus + float(row[j]) - (1.5 if len(full) > 1 and not c.isalpha() else 0.0)
@@ -352,6 +366,11 @@ def surprising_lines(text: str, lang: Language) -> list[bool]:
     return out
 
 
+def _lossy(line: str, lang: Language) -> list[str]:
+    """The most likely text of each lattice of a line with lost bytes."""
+    return [viterbi(x, lang) for x in lossy_readings(line, lang)] if "�" in line else []
+
+
 def restore_line(line: str, lang: Language) -> tuple[str, bool]:
     """(text as it was, garbled?) of one line."""
     if line.isascii():
@@ -375,14 +394,11 @@ def restore_line(line: str, lang: Language) -> tuple[str, bool]:
                 mixed.update({"".join([*words[:k], new, *words[k + 1 :]]): right for new, right in readings(w, lang, SELF_PROVING).items()})
         found = _likeliest(mixed, now, lang)
         if found is not None:
-            return restore_line(found[1], lang)[0], True
+            partly = restore_line(found[1], lang)[0]
+            return max([partly, *_lossy(line, lang)], key=lang.value), True
     if not sure:
         return line, False
-    if "�" in line and line.count("�") <= max(8, len(line) // 3):
-        texts = [viterbi(x, lang) for x in lossy_readings(line)[:6]]
-        if texts:
-            return max(texts, key=lang.value), True
-    return line, True
+    return max(_lossy(line, lang), key=lang.value, default=line), True
 
 
 def garbled(documents: DataFrame, lang: Language, restore: bool = True) -> DataFrame:

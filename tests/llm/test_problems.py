@@ -277,6 +277,14 @@ def test_garble_round_trip(lang):
     assert garble.restore_line(lost, lang) == ("Der Fährmann verkaufte die Äpfel.", True)
 
 
+def test_two_lost_bytes_of_a_character(lang):
+    """A character of three bytes with two lost ones must not keep the rest of the line from being restored."""
+    assert garble.restore_line("â��spÃ¤tâ�� wÃ�hrend der WÃ¤rme", lang) == ("„spät“ während der Wärme", True)
+    lost = "Рядом с бумажной мельницей часовщик продал зимние яблоки перед рассветом.".encode().decode("cp1252", "replace")
+    assert garble.restore_line(lost, lang)[0].endswith("с бумажной мельницей часовщик продал зимние яблоки перед рассветом.")
+    assert garble.restore_line("�" * 30 + " 84", lang) == ("�" * 30 + " 84", True)
+
+
 def test_garbled_table(spark, lang):
     docs = spark.createDataFrame([(1, "clean"), (2, None), (3, ""), (4, "über den Fluss\ndie Ã„pfel fÃ¼r Ã–l"), (5, "für Öl")], "doc_id long, text string")
     got = garble.garbled(docs, lang).collect()
