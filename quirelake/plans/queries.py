@@ -68,6 +68,17 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("system", F.col("pair_id").alias("id"), "pred", F.when(F.size("refs") > 0, F.element_at("refs", 1)).alias("ref"))
 
 
+def searched(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Lines with their context after a newline: the text that is searched for terms."""
+    whole = rows.select("book_id", "line_idx", "text").join(near, ["book_id", "line_idx"])
+    return whole.select("book_id", "line_idx", F.concat_ws("\n", F.coalesce("text", F.lit("")), "context").alias("text"))
+
+
+def relevant(spark: SparkSession, folder: str) -> DataFrame:
+    rows = source(spark, folder)
+    return terms.relevant(searched(rows, grouping.context(rows, int(setting(spark, folder, "context_window")))), table(spark, folder, "term_memory"))
+
+
 # --- SQL parts
 
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
@@ -306,12 +317,12 @@ def memory_entries(spark, folder):
 
 @query()
 def relevant_terms(spark, folder):
-    return terms.relevant(source(spark, folder), table(spark, folder, "term_memory"))
+    return relevant(spark, folder)
 
 
 @query()
 def terminology_section(spark, folder):
-    return terms.section(terms.relevant(source(spark, folder), table(spark, folder, "term_memory")))
+    return terms.section(relevant(spark, folder))
 
 
 # --- resume and integrity
@@ -372,7 +383,7 @@ def prompt_render(spark, folder):
     """The prompt of every line by itself, with context, terms and place."""
     rows = sectioned(spark, folder)
     near = grouping.context(rows, int(setting(spark, folder, "context_window")))
-    found = terms.section(terms.relevant(rows, table(spark, folder, "term_memory")))
+    found = terms.section(terms.relevant(searched(rows, near), table(spark, folder, "term_memory")))
     whole = rows.join(near, ["book_id", "line_idx"]).join(found, ["book_id", "line_idx"], "left")
     place = prompts.document_context(F.col("book_title"), F.col("chapter_heading"), F.col("file_name"), F.col("kind"))
     return whole.select("book_id", "line_idx", prompts.render(F.col("text"), F.lit(setting(spark, folder, "llm_target_language")), F.col("context"), F.col("terminology"), place).alias("prompt"))

@@ -165,6 +165,17 @@ def test_relevant(spark):
     assert got == [(0, 1, "Jane Marple", "M"), (0, 2, "grey stone", "G")]
 
 
+def test_terms_of_the_context(spark, tmp_path):
+    """A term that occurs only in a neighbouring block belongs to the line's prompt."""
+    from quirelake.plans import queries
+
+    spark.createDataFrame([(1, i, t, dt.datetime(2025, 1, 1)) for i, t in enumerate(["Anna Bell waved.", "She left.", None, "Rain."])], "book_id long, line_idx int, text string, loaded_at timestamp").write.parquet(f"{tmp_path}/source_lines.parquet")
+    spark.createDataFrame([(1, "proper_names", 1, "Anna Bell", "A. B.")], "book_id long, section string, ord int, source string, target string").write.parquet(f"{tmp_path}/term_memory.parquet")
+    spark.createDataFrame([("context_window", "1")], "setting string, value string").write.parquet(f"{tmp_path}/run_settings.parquet")
+    assert sorted(r.line_idx for r in queries.relevant_terms(spark, str(tmp_path)).collect()) == [0, 1]
+    assert sorted(r.line_idx for r in queries.terminology_section(spark, str(tmp_path)).collect()) == [0, 1]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("s", 1, "the cat sat on the mat", "the cat sat on the mat"), ("s", 2, None, "x"), ("z", 3, "a b", "c d")], "system string, id long, pred string, ref string")
     assert {r.system: round(r.bleu, 6) for r in metrics.bleu(df).collect()} == {"s": 1.0, "z": 0.0}
