@@ -12,10 +12,9 @@ from __future__ import annotations
 
 import base64
 import bisect
-import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,6 @@ from quirelake.session import cut, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 TERM_BITS = 18
 SHARD = 1_500  # items of one index
-QUERY_TERMS = 24  # a seed's most telling terms
 K1, B = 1.2, 0.75
 # Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,12 +82,17 @@ def frequencies(documents: DataFrame) -> tuple[np.ndarray, float, int]:
 
 def pack(sizes: list[int], terms: list[Counter], capacity: int, idf: np.ndarray, mean: float) -> list[list[int]]:
     """Containers (lists of places) of items, each at most ``capacity``; by BM25 from the largest unused item on, then best fit."""
-    idf = idf.tolist()
-    postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for i, c in enumerate(terms):
-        norm = K1 * (1 - B + B * sum(c.values()) / max(1.0, mean))
-        for t, n in c.items():
-            postings[t].append((i, idf[t] * n * (K1 + 1) / (n + norm)))
+    items = np.repeat(np.arange(len(terms)), [len(c) for c in terms])
+    slot = np.array([t for c in terms for t in sorted(c)], np.int64)
+    n = np.array([c[t] for c in terms for t in sorted(c)], np.float64)
+    norm = K1 * (1 - B + B * np.array([sum(c.values()) for c in terms]) / max(1.0, mean))
+    weight = idf[slot].astype(np.float64) * n * (K1 + 1) / (n + norm[items])
+    by_slot = np.argsort(slot, kind="stable")
+    owner, weight = items[by_slot], weight[by_slot]
+    used, slot_of = np.unique(slot, return_inverse=True)
+    ends = np.searchsorted(slot[by_slot], used, "right").tolist()  # where the postings of each term end
+    first = np.searchsorted(items, np.arange(len(terms) + 1)).tolist()
+    all_sizes, free_items = np.array(sizes), np.ones(len(sizes), bool)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     unused = set(order)
     out: list[list[int]] = []
@@ -98,16 +101,18 @@ def pack(sizes: list[int], terms: list[Counter], capacity: int, idf: np.ndarray,
         if seed not in unused:
             continue
         unused.discard(seed)
+        free_items[seed] = False
         box, free = [seed], capacity - sizes[seed]
-        scores: dict[int, float] = defaultdict(float)
-        for t in sorted(terms[seed], key=lambda t: (-idf[t], t))[:QUERY_TERMS]:
-            for i, w in postings[t]:
-                if i in unused and sizes[i] <= free:
-                    scores[i] += w
-        for i in sorted(scores, key=lambda i: (-scores[i], i)):
+        runs = [slice(ends[t - 1] if t else 0, ends[t]) for t in slot_of[first[seed] : first[seed + 1]].tolist()]
+        scores = np.zeros(len(sizes))
+        if runs:
+            scores = np.bincount(np.concatenate([owner[r] for r in runs]), np.concatenate([weight[r] for r in runs]), len(sizes))
+        near = np.flatnonzero((scores > 0) & free_items & (all_sizes <= free))
+        for i in near[np.argsort(-scores[near], kind="stable")].tolist():
             if sizes[i] <= free:
                 box.append(i)
                 unused.discard(i)
+                free_items[i] = False
                 free -= sizes[i]
                 if free < 8:
                     break
@@ -152,7 +157,7 @@ def containers(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY
                 rated = [(idf[t] * k, t) for t, k in c.items()]
                 shared_terms = [x for x in rated if idf[x[1]] < alone]
                 lead = max(shared_terms or rated)[1] if rated else -1
-                keys = [t for _, t in heapq.nlargest(64, rated)]
+                keys = list(c)
                 parts = max(1, -(-n // capacity))
                 for k in range(parts):
                     size = n - k * capacity if k == parts - 1 else capacity

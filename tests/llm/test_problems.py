@@ -200,6 +200,15 @@ def test_pack_keeps_everything():
     assert sum(sizes) / (100 * len(boxes)) > 0.9
 
 
+def test_pack_searches_all_terms():
+    """A neighbour that shares only a seed's least telling term is found."""
+    idf = np.full(1 << packing.TERM_BITS, 5.0, np.float32)
+    idf[999] = 0.5
+    terms = [Counter([*range(100, 180), 999]), Counter(range(200, 280)), Counter(range(300, 310)), Counter([*range(400, 409), 999])]
+    boxes = packing.pack([60, 60, 40, 40], terms, 100, idf, 50.0)
+    assert sorted(map(sorted, boxes)) == [[0, 3], [1, 2]]
+
+
 def test_containers(spark):
     rows = [(1, "word " * 60), (2, "other " * 5), (3, None), (4, ""), (5, "more text here"), (6, "more text here")]
     got = packing.containers(spark.createDataFrame(rows, "doc_id long, text string"), 32).collect()
