@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,17 @@ def local_session(cpus: int = 8, memory: str = "12g", partitions: int = 8) -> Sp
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests, laptops) a temporary one."""
-    set_now = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not set_now:
-        named = named or os.path.join(tempfile.gettempdir(), "quirelake-checkpoints")
-        spark.sparkContext.setCheckpointDir(named)
-    return set_now or named
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset, a local session (tests, laptops) gets a temporary
+    folder; on a cluster that would be one machine's own folder, so there it is an error."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "quirelake-checkpoints")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
