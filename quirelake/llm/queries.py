@@ -87,13 +87,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return defects.defects(table(spark, folder, "eval_pairs"))
 
 
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    """All n-grams and whole values of the sources; blanks part their tokens, so several of them give empty ones."""
+    values = term_values(spark, folder).withColumn("tokens", F.split("value", " "))
+    return frequency.term_counts(values, "tokens", ["count", "lines", "rows"], "cand_id", "book_id")
+
+
 def p6_values(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct value: its name (least cand_id), totals of count and lines, number of records and books, and mark."""
     least = int(setting(spark, folder, "term_min_total"))
     share = float(setting(spark, folder, "term_max_book_share"))
     books = table(spark, folder, "term_candidates").agg(F.countDistinct("book_id")).first()[0]
-    values = term_values(spark, folder).withColumn("tokens", F.split("value", " "))
-    counted = frequency.term_counts(values, "tokens", ["count", "lines", "rows"], "cand_id", whole=True)
+    counted = _counted(spark, folder).filter("whole")
     mark = F.when(F.col("count") < least, "rare").when(F.col("records") > share * books, "common")
     return counted.select("cand_id", F.col("ngram").alias("value"), "count", "lines", F.col("rows").alias("records"), F.col("records").alias("books"), mark.alias("mark"))
 
@@ -103,9 +108,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """Every n-gram of words of the sources, of any length: occurrences weighted by count, records (of a value and book)."""
-    values = term_values(spark, folder).withColumn("tokens", F.filter(F.split("value", " "), lambda w: w != ""))
-    return frequency.term_counts(values, "tokens", ["count", "lines", "rows"], "cand_id").select("ngram", "n", "count", "lines", "occurrences", "records")
+    """Every n-gram of words of the sources: its records (candidates), occurrences, totals of count and lines of these, and books."""
+    grams = _counted(spark, folder).filter("not whole").filter(~F.col("ngram").rlike("^ | $|  ") & (F.col("ngram") != ""))
+    return grams.select("ngram", "n", "count", "lines", F.col("rows").alias("occurrences"), F.col("records").alias("books"))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
