@@ -33,7 +33,8 @@ WRITTEN_IN = ("utf-8", "cp1252", "cp1251", "koi8-r", "cp866", "mac-roman", "mac-
 MANY_BYTES = ("utf-8", "gbk", "big5", "cp932", "euc-jp")
 SELF_PROVING = ("utf-8",)  # bytes seldom are valid in it by chance
 
-_SURE = re.compile("[\u0080-\u0084\u0086-\u009f�-]")
+# Bytes that are lost for good: U+FFFD beside a letter, a digit or another one (alone between blanks or quotes it may be meant), control characters.
+_LOST = re.compile("(?<=[^\\W_])\ufffd|\ufffd(?=[^\\W_\ufffd]|\ufffd)|[\u0080-\u0084\u0086-\u009f]")
 # What garbling leaves and clean text seldom has: signs, letters of other alphabets, capitals and accents in runs. It only decides which lines are looked at.
 _SIGNS = "\u00a2-\u00a9\u00ac\u00ae-\u00b9\u00bc-\u00be\u00d7\u00f7\u0100-\u0151\u0154-\u0400\u0402-\u040f\u0450\u0452-\u052f\u2020-\u2022\u2030-\u203a\u20ac\u2116\u2122\u2190-\u2bff\ue000-\uf8ff\uff61-\uff9f"
 _RUNS = "[\u00c0-\u00ff]{3}|[а-яё][А-Я]|[А-ЯЁ]{4}|[\u3100-\u33ff\ufe30-\ufe6b]"
@@ -116,6 +117,7 @@ class Language:
         self.alphabet = set(self.letters)
         self.common = {c for c in self.letters if self.one[ord(c)] >= max(5, self.total * 3e-5)} | set(map(chr, range(32, 127)))
         self.fits: dict[tuple, list[str]] = {}
+        self.everyday: dict[tuple[str, str], frozenset[str]] = {}
         self.known = self.alphabet | set(map(chr, range(128))) | set(map(chr, range(0x80, 0xA0)))
 
     def logs(self, text: str) -> np.ndarray:
@@ -147,6 +149,12 @@ class Language:
             self.fits[part] = [c for c, raw in raws if len(raw) == len(part) and all(x is None or x == y for x, y in zip(part, raw))]
         return self.fits[part]
 
+    def allowed(self, wrong: str, right: str) -> frozenset[str]:
+        """The characters of one single-byte encoding that another reads as everyday ones."""
+        if (wrong, right) not in self.everyday:
+            self.everyday[wrong, right] = frozenset(c for c, image in _MAPS[wrong, right].items() if image in self.common and not "\uff61" <= image <= "\uff9f")
+        return self.everyday[wrong, right]
+
     def word(self, word: str) -> float:
         return float(self.words[_word_slot(word)])
 
@@ -176,6 +184,13 @@ def _table(encoding: str) -> dict[str, int] | None:
     return out
 
 
+def _image(byte: int, encoding: str) -> str | None:
+    try:
+        return bytes([byte]).decode(encoding)
+    except UnicodeDecodeError:
+        return None
+
+
 _TABLES = {e: _table(e) for e in READ_AS}
 
 
@@ -190,16 +205,21 @@ def to_bytes(text: str, encoding: str) -> bytes | None:
         return None
 
 
+_MAPS = {(w, r): {c: image for c, b in _TABLES[w].items() if b > 127 and (image := _image(b, r)) is not None} for w in READ_AS if _TABLES[w] is not None for r in WRITTEN_IN if r not in MANY_BYTES and r != w}
+
+
 def readings(text: str, lang: Language, rights: tuple[str, ...] = WRITTEN_IN) -> dict[str, str]:
     """All texts that the encoding pairs make of ``text`` without loss and out of known characters, with the encoding each was written
-    in. UTF-8 that was garbled twice is read twice."""
+    in. UTF-8 that was garbled twice is read twice. A pair of single-byte encodings is a map of characters: the distinct characters of
+    the text tell whether it fits, and only then is the text rewritten."""
     out: dict[str, str] = {}
     seen: set[bytes] = set()
     strange = max(1, len(text) // 25)
     kinds = set(text)
+    high = {c for c in kinds if c > "\x7f"}
     for wrong in READ_AS:
         table = _TABLES[wrong]
-        if table is not None and not kinds <= table.keys():
+        if table is not None and not high <= table.keys():
             continue
         raw = to_bytes(text, wrong)
         if raw is None or raw.isascii() or raw in seen:
@@ -208,6 +228,14 @@ def readings(text: str, lang: Language, rights: tuple[str, ...] = WRITTEN_IN) ->
         for right in rights:
             if right == wrong:
                 continue
+            if table is not None and right not in MANY_BYTES:
+                images, allowed = _MAPS[wrong, right], lang.allowed(wrong, right)
+                if not all(c in allowed or images.get(c) in kinds for c in high):
+                    continue  # what single bytes bring in must be everyday characters
+                new = raw.decode(right)
+                if new not in out and new != text and len(set(new) - lang.known) <= strange:
+                    out[new] = right
+                continue
             try:
                 new = raw.decode(right)
             except UnicodeDecodeError:
@@ -221,7 +249,7 @@ def readings(text: str, lang: Language, rights: tuple[str, ...] = WRITTEN_IN) ->
                 continue
             brought = set(new) - kinds
             if right not in MANY_BYTES and not brought <= lang.common or any("\uff61" <= c <= "\uff9f" for c in brought):
-                continue  # what single bytes bring in must be everyday characters
+                continue
             out[new] = right
     return out
 
@@ -375,14 +403,11 @@ def restore_line(line: str, lang: Language) -> tuple[str, bool]:
     """(text as it was, garbled?) of one line."""
     if line.isascii():
         return line, False
-    sure = bool(_SURE.search(line))
     now = lang.value(line)
-    best, value = line, now
-    for _ in range(3):  # text may have been garbled more than once
-        found = _likeliest(readings(best, lang), value, lang)
-        if found is None:
-            break
+    best, value, past = line, now, {line}
+    while (found := _likeliest(readings(best, lang), value, lang)) is not None and found[1] not in past:  # text may have been garbled more than once
         value, best = found
+        past.add(best)
     if value > now:
         return best, True
     # only a part of the line was garbled: the decoding that proves itself is tried on its words
@@ -396,14 +421,15 @@ def restore_line(line: str, lang: Language) -> tuple[str, bool]:
         if found is not None:
             partly = restore_line(found[1], lang)[0]
             return max([partly, *_lossy(line, lang)], key=lang.value), True
-    if not sure:
+    if not _LOST.search(line):
         return line, False
-    return max(_lossy(line, lang), key=lang.value, default=line), True
+    regained = max(_lossy(line, lang), key=lang.value, default=line)
+    return (regained, True) if lang.value(regained) > now + MARGIN else (line, True)  # else lost, and not to be regained
 
 
-def garbled(documents: DataFrame, lang: Language, restore: bool = True) -> DataFrame:
+def garbled(documents: DataFrame, lang: Language) -> DataFrame:
     """(doc_id, restored, spans) of the documents with at least one garbled stretch; spans is the number of garbled lines. Lines that
-    can't be regained stay as they are. Without ``restore`` a document is left at its first garbled line (restored is null). Null and empty texts are never garbled."""
+    can't be regained stay as they are. Null and empty texts are never garbled; an empty table gives none."""
     shared = documents.sparkSession.sparkContext.broadcast(lang)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -411,23 +437,14 @@ def garbled(documents: DataFrame, lang: Language, restore: bool = True) -> DataF
         for batch in batches:
             rows = []
             for doc, text in batch.itertuples(index=False):
-                sure = bool(_SURE.search(text))
-                if sure and not restore:
-                    rows.append((doc, None, 1))
-                    continue
-                odd = surprising_lines(text, model)
-                if not sure and not any(odd):
-                    continue
-                lines, bad = [], 0
-                for line, look in zip(text.split("\n"), odd):
-                    new, hit = restore_line(line, model) if look or sure and _SURE.search(line) else (line, False)
-                    bad += hit
-                    lines.append(new)
-                    if hit and not restore:
-                        break
+                lines, bad = text.split("\n"), 0
+                for i, (line, odd) in enumerate(zip(lines, surprising_lines(text, model))):
+                    if odd or _LOST.search(line):
+                        lines[i], hit = restore_line(line, model)
+                        bad += hit
                 if bad:
-                    rows.append((doc, "\n".join(lines) if restore else None, bad))
+                    rows.append((doc, "\n".join(lines), bad))
             yield pd.DataFrame(rows, columns=["doc_id", "restored", "spans"])
 
-    plain = F.col("text").rlike(r"^[\x00-\x7f]*$")
+    plain = F.col("text").rlike(r"\A[\x00-\x7f]*\z")
     return spread(documents.select("doc_id", "text").filter((F.length("text") > 0) & ~plain)).mapInPandas(scan, "doc_id long, restored string, spans int")

@@ -127,8 +127,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return garble.garbled(documents, garble.language(documents), restore=False).select("doc_id")
+    return p9_restored(spark, folder).filter("restored is not null").select("doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_hazards": p1_hazards, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
