@@ -275,8 +275,12 @@ def lossy_readings(text: str, lang: Language) -> list[list]:
             if bytes(raw).isascii():
                 continue
             lattice = _utf8_lattice(bytes(raw), set(holes), lang)
-            if lattice is not None and lattice not in out:
-                out.append(lattice)
+            if lattice is None or lattice in out:
+                continue
+            certain = [x[0] for x in lattice if x and len(x) == 1 and x[0] > "\x7f"]
+            if 2 * sum(c not in lang.known for c in certain) > len(certain):
+                continue  # what the bytes give for certain are mostly characters the corpus doesn't know
+            out.append(lattice)
     return out
 
 
@@ -438,8 +442,9 @@ def garbled(documents: DataFrame, lang: Language) -> DataFrame:
             rows = []
             for doc, text in batch.itertuples(index=False):
                 lines, bad = text.split("\n"), 0
+                lost = _LOST.search(text) is not None
                 for i, (line, odd) in enumerate(zip(lines, surprising_lines(text, model))):
-                    if odd or _LOST.search(line):
+                    if odd or lost and _LOST.search(line):
                         lines[i], hit = restore_line(line, model)
                         bad += hit
                 if bad:

@@ -121,6 +121,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with leaks, without the leaked stretches; those that are mostly test material are dropped."""
+    return leaks.cleaned(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return garble.garbled(documents, garble.language(documents))
@@ -130,5 +135,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_restored(spark, folder).filter("restored is not null").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_hazards": p1_hazards, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_hazards": p1_hazards, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p7_containers": p7_containers, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE: dict[str, str] = {}

@@ -298,5 +298,4 @@ def test_garbled_table(spark, lang):
     docs = spark.createDataFrame([(1, "clean"), (2, None), (3, ""), (4, "über den Fluss\ndie Ã„pfel fÃ¼r Ã–l"), (5, "für Öl")], "doc_id long, text string")
     got = garble.garbled(docs, lang).collect()
     assert [(r.doc_id, r.restored) for r in got] == [(4, "über den Fluss\ndie Äpfel für Öl")]
-    assert garble.garbled(docs, lang, restore=False).count() == 1
     assert garble.language(docs.limit(0)).total == 1.0
