@@ -398,9 +398,20 @@ def surprising_lines(text: str, lang: Language) -> list[bool]:
     return out
 
 
-def _lossy(line: str, lang: Language) -> list[str]:
-    """The most likely text of each lattice of a line with lost bytes."""
-    return [viterbi(x, lang) for x in lossy_readings(line, lang)] if "�" in line else []
+def _lossy(line: str, now: float, lang: Language, bytes_only: bool = False) -> str | None:
+    """The likeliest of the texts of the lattices of a line with lost bytes that beat ``now`` by their margin, as for readings without loss."""
+    best, value = None, -np.inf
+    if "�" in line:
+        for lattice in lossy_readings(line, lang):
+            read = lattice != [[ch] if ch != "�" else None for ch in line]  # bytes read as UTF-8, not letters filled in
+            if bytes_only and not read:
+                continue
+            new = viterbi(lattice, lang)
+            own = lang.value(new)
+            least = now + (MARGIN_UTF8 * (len(new) - sum(map(str.isascii, new))) if read else MARGIN)
+            if own > least and own > value:
+                best, value = new, own
+    return best
 
 
 def restore_line(line: str, lang: Language) -> tuple[str, bool]:
@@ -424,11 +435,12 @@ def restore_line(line: str, lang: Language) -> tuple[str, bool]:
         found = _likeliest(mixed, now, lang)
         if found is not None:
             partly = restore_line(found[1], lang)[0]
-            return max([partly, *_lossy(line, lang)], key=lang.value), True
-    if not _LOST.search(line):
-        return line, False
-    regained = max(_lossy(line, lang), key=lang.value, default=line)
-    return (regained, True) if lang.value(regained) > now + MARGIN else (line, True)  # else lost, and not to be regained
+            filled = _lossy(line, now, lang)
+            return max([partly, filled or partly], key=lang.value), True
+    if not _LOST.search(line):  # a sign that may be meant, unless the bytes around it make another text
+        regained = _lossy(line, now, lang, bytes_only=True)
+        return regained or line, regained is not None
+    return _lossy(line, now, lang) or line, True  # a line that no reading explains is lost
 
 
 def garbled(documents: DataFrame, lang: Language) -> DataFrame:
@@ -442,9 +454,9 @@ def garbled(documents: DataFrame, lang: Language) -> DataFrame:
             rows = []
             for doc, text in batch.itertuples(index=False):
                 lines, bad = text.split("\n"), 0
-                lost = _LOST.search(text) is not None
+                lost = "\ufffd" in text or _LOST.search(text) is not None
                 for i, (line, odd) in enumerate(zip(lines, surprising_lines(text, model))):
-                    if odd or lost and _LOST.search(line):
+                    if odd or lost and ("\ufffd" in line or _LOST.search(line)):
                         lines[i], hit = restore_line(line, model)
                         bad += hit
                 if bad:

@@ -294,6 +294,11 @@ def test_two_lost_bytes_of_a_character(lang):
     assert garble.restore_line("�" * 30 + " 84", lang) == ("�" * 30 + " 84", True)
 
 
+def test_meant_sign_is_no_case(lang):
+    """A replacement sign by itself may be meant; the same sign at the end of misread bytes is not."""
+    assert garble.restore_line("Der Fluss „�“ später.", lang) == ("Der Fluss „�“ später.", False)
+
+
 def test_garbled_table(spark, lang):
     docs = spark.createDataFrame([(1, "clean"), (2, None), (3, ""), (4, "über den Fluss\ndie Ã„pfel fÃ¼r Ã–l"), (5, "für Öl")], "doc_id long, text string")
     got = garble.garbled(docs, lang).collect()
