@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quirelake.session import spread
 
-BITS3, BITS2, BITSW = 20, 18, 19
+BITS3, BITS2, BITSW = 20, 18, 19  # of the tables for small corpora
+MOST_BITS, LOAD = 24, 0.3  # tables fuller than LOAD are counted again, larger by two bits, up to MOST_BITS
 MARGIN, MARGIN_UTF8 = 4.5, -4.0  # nats by which a reading must be more likely; in UTF-8, which bytes seldom are by chance, for each character
 SURPRISE = -6.5  # log probability of a character that makes a line worth a look
 BEAM = 24
@@ -47,21 +48,18 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _slots(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of (a, b, c), (b, c) and (a, b) for every character c; two line starts go before the first."""
+def _slots(codes: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of (a, b, c), (b, c) and (a, b) for every character c, in tables of ``more`` bits more; two line starts go before the first."""
     c = np.concatenate([np.array([10, 10], np.uint64), codes])
     with np.errstate(over="ignore"):
         two = (c[1:] + (c[:-1] << np.uint64(21))) * _M
         three = ((c[2:] ^ (c[1:-1] << np.uint64(21))) + (c[:-2] * np.uint64(0xC2B2AE3D27D4EB4F))) * _M
-    two = (two >> np.uint64(64 - BITS2)).astype(np.int64)
-    return (three >> np.uint64(64 - BITS3)).astype(np.int64), two[1:], two[:-1]
+    two = (two >> np.uint64(64 - BITS2 - more)).astype(np.int64)
+    return (three >> np.uint64(64 - BITS3 - more)).astype(np.int64), two[1:], two[:-1]
 
 
-_LINE_START = int(_slots(_codes("x"))[2][0])
-
-
-def _word_slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITSW) - 1)
+def _word_slot(word: str, more: int = 0) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << (BITSW + more)) - 1)
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,45 +67,55 @@ _LAST_WORD = re.compile(r"[^\W\d_]+$")
 
 
 def language(documents: DataFrame) -> Language:
-    """Counts over all texts, but for lines with signs that garbling leaves: (kind, slot, n) rows are summed on the cluster; the tables
-    they fill have a fixed size, whatever the corpus."""
-
+    """Counts over all texts, but for lines with signs that garbling leaves: (kind, slot, n) rows are summed on the cluster. The tables they
+    fill grow until less than LOAD of each is in use, so that few contexts share a slot, and end at 2^MOST_BITS slots (64 MB)."""
+    more = 0
+    while True:
+        made = _counted(documents, more).toPandas()
+        load = max((int((made.kind == k).sum()) / (1 << (bits + more)) for k, bits in ((2, BITS2), (3, BITS3), (4, BITSW))), default=0.0)
+        if load <= LOAD or BITS3 + more >= MOST_BITS:
+            return Language(*(made[made.kind == k] for k in (1, 2, 3, 4)), more)
+        more += 2
+
+
+def _counted(documents: DataFrame, more: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        three, two = np.zeros(1 << BITS3, np.int64), np.zeros(1 << BITS2, np.int64)
-        words: np.ndarray = np.zeros(1 << BITSW, np.int64)
+        three, two = np.zeros(1 << (BITS3 + more), np.int64), np.zeros(1 << (BITS2 + more), np.int64)
+        words: np.ndarray = np.zeros(1 << (BITSW + more), np.int64)
         letters: Counter = Counter()
         for batch in batches:
             texts = ["\n".join(x for x in t.split("\n") if not _UNSURE.search(x)) if _UNSURE.search(t) else t for t in batch["text"]]
-            a, b, _ = _slots(_codes("\n\n".join(texts)))
-            three += np.bincount(a, minlength=1 << BITS3)
-            two += np.bincount(b, minlength=1 << BITS2)
+            a, b, _ = _slots(_codes("\n\n".join(texts)), more)
+            slots, n = np.unique(a, return_counts=True)
+            three[slots] += n
+            two += np.bincount(b, minlength=len(two))
             local: Counter = Counter()
             for text in texts:
                 local.update(_WORD.findall(text))
                 letters.update(text)
             for w, n in local.items():
-                words[_word_slot(w)] += n
+                words[_word_slot(w, more)] += n
         for kind, counts in ((3, three), (2, two), (4, words)):
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"kind": kind, "slot": at, "n": counts[at]})
         yield pd.DataFrame({"kind": 1, "slot": [ord(c) for c in letters], "n": list(letters.values())})
 
-    rows = spread(documents.select("text").filter(F.length("text") > 0)).mapInPandas(count, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
-    made = rows.toPandas()
-    return Language(*(made[made.kind == k] for k in (1, 2, 3, 4)))
+    return spread(documents.select("text").filter(F.length("text") > 0)).mapInPandas(count, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
 
 
 class Language:
     """Log probabilities of characters after two others, and of words."""
 
-    def __init__(self, one: pd.DataFrame, two: pd.DataFrame, three: pd.DataFrame, words: pd.DataFrame):
+    def __init__(self, one: pd.DataFrame, two: pd.DataFrame, three: pd.DataFrame, words: pd.DataFrame, more: int = 0):
+        self.more = more
+        self.line_start = int(_slots(_codes("x"), more)[2][0])
         self.one = np.zeros(0x110000, np.float32)
         self.one[one.slot.to_numpy()] = one.n.to_numpy()
-        self.two = np.zeros(1 << BITS2, np.float32)
+        self.two = np.zeros(1 << (BITS2 + more), np.float32)
         self.two[two.slot.to_numpy()] = two.n.to_numpy()
-        self.three = np.zeros(1 << BITS3, np.float32)
+        self.three = np.zeros(1 << (BITS3 + more), np.float32)
         self.three[three.slot.to_numpy()] = three.n.to_numpy()
-        self.words = np.zeros(1 << BITSW, np.float32)
+        self.words = np.zeros(1 << (BITSW + more), np.float32)
         self.words[words.slot.to_numpy()] = words.n.to_numpy()
         self.total = max(1.0, float(self.one.sum()))
         known = np.flatnonzero(self.one >= max(3, self.total * 2e-6))
@@ -123,10 +131,10 @@ class Language:
     def logs(self, text: str) -> np.ndarray:
         """log P of each character."""
         codes = _codes(text)
-        a, b, before2 = _slots(codes)
+        a, b, before2 = _slots(codes, self.more)
         before1 = np.concatenate([[10], codes[:-1].astype(np.int64)])
         c2 = self.two[before2]
-        c2[before2 == _LINE_START] = self.one[10]
+        c2[before2 == self.line_start] = self.one[10]
         p = 0.9 * self.three[a] / (c2 + 2.0) + 0.09 * self.two[b] / (self.one[before1] + 2.0) + 0.01 * self.one[codes.astype(np.int64)] / self.total + 1e-8
         return np.log(np.minimum(p, 1.0))
 
@@ -136,9 +144,9 @@ class Language:
         b = np.array([ord(t[1]) for t in tails], np.uint64)[:, None]
         c = np.array([ord(x) for x in choices], np.uint64)[None, :]
         with np.errstate(over="ignore"):
-            three = ((((c ^ (b << np.uint64(21))) + a * np.uint64(0xC2B2AE3D27D4EB4F)) * _M) >> np.uint64(64 - BITS3)).astype(np.int64)
-            two = (((c + (b << np.uint64(21))) * _M) >> np.uint64(64 - BITS2)).astype(np.int64)
-            before = (((b + (a << np.uint64(21))) * _M) >> np.uint64(64 - BITS2)).astype(np.int64)
+            three = ((((c ^ (b << np.uint64(21))) + a * np.uint64(0xC2B2AE3D27D4EB4F)) * _M) >> np.uint64(64 - BITS3 - self.more)).astype(np.int64)
+            two = (((c + (b << np.uint64(21))) * _M) >> np.uint64(64 - BITS2 - self.more)).astype(np.int64)
+            before = (((b + (a << np.uint64(21))) * _M) >> np.uint64(64 - BITS2 - self.more)).astype(np.int64)
         p = 0.9 * self.three[three] / (self.two[before] + 2.0) + 0.09 * self.two[two] / (self.one[b.astype(np.int64)] + 2.0) + 0.01 * self.one[c.astype(np.int64)] / self.total + 1e-8
         return np.log(np.minimum(p, 1.0))
 
@@ -156,7 +164,7 @@ class Language:
         return self.everyday[wrong, right]
 
     def word(self, word: str) -> float:
-        return float(self.words[_word_slot(word)])
+        return float(self.words[_word_slot(word, self.more)])
 
     def value(self, text: str) -> float:
         return float(self.logs(text).sum())

@@ -26,6 +26,7 @@ from quirelake.session import cut, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 TERM_BITS = 18
 SHARD = 1_500  # items of one index
+FULL = 0.97  # containers less full are taken apart and fitted again
 K1, B = 1.2, 0.75
 # Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,7 +97,6 @@ def pack(sizes: list[int], terms: list[Counter], capacity: int, idf: np.ndarray,
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     unused = set(order)
     out: list[list[int]] = []
-    loose: list[tuple[int, int]] = []  # what is left free, container
     for seed in order:
         if seed not in unused:
             continue
@@ -117,24 +117,29 @@ def pack(sizes: list[int], terms: list[Counter], capacity: int, idf: np.ndarray,
                 if free < 8:
                     break
         out.append(box)
-        loose.append((free, len(out) - 1))
-    # merge containers that fit together, fullest first: best fit
-    boxes = sorted(((sum(sizes[i] for i in b), k) for k, b in enumerate(out)), reverse=True)
-    rooms: list[tuple[int, int]] = []
-    merged: list[list[int]] = []
-    for size, k in boxes:
-        at = bisect.bisect_left(rooms, (size, -1))
+    return _fitted(out, sizes, capacity)
+
+
+def _fitted(boxes: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Little space left: containers less than ``FULL`` full are taken apart again and their items, largest first, put where they leave
+    the least room (best fit), in the fuller containers or new ones."""
+    used = [sum(sizes[i] for i in b) for b in boxes]
+    out = [list(b) for b, u in zip(boxes, used) if u >= FULL * capacity]
+    loose = sorted((i for b, u in zip(boxes, used) if u < FULL * capacity for i in b), key=lambda i: (-sizes[i], i))
+    rooms = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(out))
+    for i in loose:
+        at = bisect.bisect_left(rooms, (sizes[i], -1))
         if at < len(rooms):
-            room, m = rooms.pop(at)
-            merged[m] += out[k]
-            bisect.insort(rooms, (room - size, m))
+            room, k = rooms.pop(at)
+            out[k].append(i)
         else:
-            merged.append(list(out[k]))
-            bisect.insort(rooms, (capacity - size, len(merged) - 1))
-    return merged
+            room, k = capacity, len(out)
+            out.append([i])
+        bisect.insort(rooms, (room - sizes[i], k))
+    return out
 
 
-def containers(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY) -> DataFrame:
+def containers(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY, shard: int = SHARD) -> DataFrame:
     """(container, doc_id, part, parts, tokens, start_token, fill): where each document, or each part of one longer than
     ``capacity`` tokens, goes. A longer document fills containers of its own and its rest is an item like others. Null and empty texts
     are items of no tokens and get container null. fill is the share of the container's capacity in use."""
@@ -167,19 +172,19 @@ def containers(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY
 
     items = cut(spread(documents.select("doc_id", "text")).mapInPandas(measure, "doc_id long, part int, parts int, tokens int, start_token int, lead int, terms array<int>, counts array<int>"))
     small = items.filter(f"tokens > 0 and tokens < {capacity}")
-    n = small.count()
-    shards = max(1, -(-n // SHARD))
+    shards = max(1, -(-small.count() // shard))
+    partitions = min(shards, 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # each is cut into shards
 
     def fill(batches):
         idf, mean = shared.value
-        held = []
+        held = pd.DataFrame()
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= 2 * SHARD:
-                yield one(pd.concat(held, ignore_index=True), idf, mean)
-                held = []
-        if held:
-            yield one(pd.concat(held, ignore_index=True), idf, mean)
+            held = pd.concat([held, batch], ignore_index=True) if len(held) else batch
+            while len(held) >= 2 * shard:  # what is left at the end is then a shard of its own size too
+                yield one(held.iloc[:shard].reset_index(drop=True), idf, mean)
+                held = held.iloc[shard:].reset_index(drop=True)
+        if len(held):
+            yield one(held, idf, mean)
 
     def one(t, idf, mean):
         terms = [Counter(dict(zip(map(int, a), map(int, b)))) for a, b in zip(t["terms"], t["counts"])]
@@ -191,7 +196,7 @@ def containers(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY
             rows += [(name, t.doc_id[i], t.part[i], t.parts[i], t.tokens[i], t.start_token[i], used) for i in b]
         return pd.DataFrame(rows, columns=["container", "doc_id", "part", "parts", "tokens", "start_token", "fill"])
 
-    laid = small.repartitionByRange(shards, "lead", "tokens", "doc_id").sortWithinPartitions("lead", "tokens", "doc_id").drop("lead")
+    laid = small.repartitionByRange(partitions, "lead", "tokens", "doc_id").sortWithinPartitions("lead", "tokens", "doc_id").drop("lead")
     schema = "container string, doc_id long, part int, parts int, tokens int, start_token int, fill double"
     packed = laid.mapInPandas(fill, schema)
     name = F.concat_ws("-", "doc_id", "part")

@@ -73,7 +73,7 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         return [(0, n)] if n else []
     out, start = [], 0
     base, table, values = 0, None, None
-    least = max(1, min(limit, max(limit // 2, 2 * overlap)))
+    least = max(1, limit // 2, min(2 * overlap, limit - max(1, limit // 8)))  # there are always lengths to choose from
     while True:
         if n - start <= limit:
             out.append((start, n))

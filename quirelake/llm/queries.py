@@ -53,8 +53,10 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The new number of lines of each unit."""
-    return _pieces(spark, folder, long_only=False).groupBy("unit_id").agg(F.count("*").cast("int").alias("lines"))
+    """The new number of lines of each unit; one without text keeps its own."""
+    cut = _pieces(spark, folder, long_only=False).groupBy("unit_id").agg(F.count("*").cast("int").alias("new"))
+    units = latest(table(spark, folder, "manifest_units").select("unit_id", "lines", "loaded_at"), ["unit_id"])
+    return units.join(cut, "unit_id", "left").select("unit_id", F.coalesce("new", "lines").alias("lines"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,4 +138,9 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_hazards": p1_hazards, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_lines": p2_lines, "p3_found": p3_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p6_found": p6_found, "p6_values": p6_values, "p6_terms": p6_terms, "p7_containers": p7_containers, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_restored": p9_restored}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p2_found": """WITH u AS (SELECT * FROM manifest_units QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY loaded_at DESC NULLS LAST, original_text DESC NULLS LAST) = 1),
+t AS (SELECT unit_id, 0 AS segment_no, original_text AS x FROM u WHERE segments IS NULL
+  UNION ALL SELECT unit_id, CAST(i AS INTEGER), segments[i].original_text FROM (SELECT unit_id, segments, unnest(range(1, len(segments) + 1)) i FROM u WHERE segments IS NOT NULL))
+SELECT unit_id, CAST(segment_no AS INTEGER) AS segment_no FROM t WHERE length(x) > (SELECT CAST(value AS INTEGER) FROM run_settings WHERE setting = 'llm_chunk_chars')""",
+}

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quirelake.llm import canonical, frequency, garble, leaks, packing, pieces, sentences, truncation
+from quirelake.llm import canonical, frequency, garble, leaks, packing, pairs, pieces, sampling, sentences, truncation
 from quirelake.llm.pairs import Pair, core, stopped, target
 
 NOW = dt.datetime(2025, 1, 1)
@@ -27,10 +28,20 @@ def test_endings():
 
 def test_evidence():
     ref = "Der Fährmann verkaufte die Winteräpfel im leeren Theater am dritten Tag."
-    cut = lambda p: truncation.evidence(Pair("The pilot sold the apples.", p, ref, 1.0), False)
-    assert cut("Der Fährmann verkaufte die Wint") == 2
-    assert cut(ref) == 0 and cut(ref[:-1]) == 0
-    assert cut("Der Fährmann verkaufte …") == 2
+    evidence = truncation.Evidence({}, {})
+
+    def odds(pred, ref=ref, original="The pilot sold the apples."):
+        p = Pair(original, pred, ref, 1.0)
+        _, _, words, ends, _, broken, by_ref, by_original, _ = truncation.view(p)
+        return evidence.cell[by_ref if by_ref >= 0 else by_original] if not ends else None
+
+    assert odds("Der Fährmann verkaufte die Wint") > 3
+    assert odds(ref) is None and odds(ref[:-1]) < -1
+    assert odds("Der Fährmann verkaufte …") > 1
+    assert truncation.view(Pair("x", "Ganz etwas anderes ohne Ende", ref, 1.0))[3]  # another text: no case here
+    # what is seen at limits outweighs what is assumed
+    taught = truncation.Evidence({(True, 4): 500.0, (False, 0): 500.0}, {})
+    assert taught.cell[4] > evidence.cell[4]
 
 
 PAIR = "pair_id long, pred_path string, line_idx int, system string, src_lang string, target_lang string, original_text string, pred string, refs array<string>, loaded_at timestamp"
@@ -51,6 +62,51 @@ def test_truncated_finds_the_limit(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
     limits = truncation.hazards(truncation.looked_at(df)).filter("significant and unit = 'chars'").collect()
     assert 60 in {r.length for r in limits}
+    assert all(got[i].at_limit for i in range(400) if got[i].truncated)
+
+
+def test_native_ends_agree_with_python(spark):
+    texts = ["He left the town.", "Er ging nach Haus!”", "他走了。”", "approx.", "He met Dr.", "He left… ", "He left town. (line 4)", "no end", "", None, "a\nfinished text.\n", "long 3.5"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", pairs.finished(F.col("t")).alias("f"), pairs.ending(F.col("t")).alias("e")).collect():
+        if r.f:
+            cut, added = core(r.t)
+            assert stopped(cut) and not added, r.t
+    got = {r.t: r.e for r in df.select("t", pairs.ending(F.col("t")).alias("e")).collect()}
+    assert got["no end"] is not None and got["approx."] is None and got[""] is None
+
+
+def test_sample_of_a_share_below_a_millionth(spark):
+    """A share that whole millionths round to nothing still draws rows."""
+    rows = sampling.sample(spark.range(3_000_000), ["id"], 2)
+    assert 1 <= len(rows) <= 2
+    assert sampling.sample(spark.range(0), ["id"], 5) == []
+    assert len(sampling.sample(spark.range(10), ["id"], 50)) == 10
+
+
+def test_defects_of_made_pairs(spark):
+    from quirelake.llm import defects
+
+    random.seed(4)
+    en = "the a pilot sold apples near river bank under bridge while others slept quietly beyond hills".split()
+    de = "der ein Lotse verkaufte Äpfel am Fluss Ufer unter Brücke während andere schliefen still hinter Hügeln".split()
+    fr = "le un pilote vendait pommes près rive fleuve sous pont pendant autres dormaient calme derrière collines".split()
+    rows = []
+    for i in range(300):
+        at = [random.randrange(len(en)) for _ in range(random.randint(6, 14))]
+        text = lambda words: " ".join(words[k] for k in at).capitalize() + "."
+        lang = "de" if i % 2 else "fr"
+        ref = text(de if i % 2 else fr)
+        kind = i % 30
+        pred = {0: text(en), 1: text(fr if i % 2 else de), 2: "I'm sorry, but I can't help with that request.", 3: "…", 4: ref[: len(ref) // 2]}.get(kind, ref)
+        rows.append((i, f"r/x.en-{lang}.pred.txt", i, "s", "en", lang, text(en), pred, [ref], NOW))
+    refusal = " ".join(["I cannot translate this text, and I will say so at great length."] * 100)
+    rows.append((1000, "r/x.en-de.pred.txt", 1, "s", "en", "de", "The pilot slept near hills.", refusal, ["Der Lotse schlief hinter Hügeln."], NOW))
+    rows.append((1001, "r/x.en-de.pred.txt", 1, "s", "en", "de", "Anna Bell", "", [], NOW))
+    got = {r.pair_id: r.defect for r in defects.defects(spark.createDataFrame(rows, PAIR)).collect()}
+    want = {0: "copy", 1: "wrong_language", 2: "refusal", 3: "empty", 4: "truncated"}
+    right = sum(got.get(i) == want.get(i % 30) for i in range(300))
+    assert right >= 297 and got[1000] == "refusal" and 1001 not in got
 
 
 def test_defects_empty_table(spark):
@@ -87,6 +143,14 @@ def test_range_maximum(values, data):
     assert table.best(a, b) == max(i for i in range(a, b + 1) if values[i] == best)
 
 
+def test_pieces_with_much_overlap():
+    text = "word after word of text, " * 400
+    for overlap in (10, 45, 50, 60, 90):
+        spans = pieces.cut(text, 100, overlap)
+        assert spans[-1][1] == len(text) and all(b - a <= 100 for a, b in spans)
+        assert sum(text[b - 1] == " " for _, b in spans[:-1]) >= 0.95 * (len(spans) - 1)
+
+
 def test_pieces_long_text_in_blocks():
     text = "One two three. " * 20_000
     spans = pieces.cut(text, 1200, 120)
@@ -143,7 +207,7 @@ def test_sentences_of_a_table(spark):
 
 def test_canonical_is_sound():
     assert canonical.conflicts() == []
-    same = [("ﬁne", "fine"), ("Ｆｕｌｌ", "Full"), ("été", "\xe9t\xe9"), ("a\xa0b", "a b"), ("Ве​er", "Beer"), ("ﾊﾞ", "バ"), ("⼯", "工"), ("x‐y", "x-y"), ("so­ft", "soft")]
+    same = [("ﬁne", "fine"), ("Ｆｕｌｌ", "Full"), ("été", "\xe9t\xe9"), ("a\xa0b", "a b"), ("Ве​er", "Beer"), ("ﾊﾞ", "バ"), ("⼯", "工"), ("x‐y", "x-y"), ("so­ft", "soft"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u0e4d\u0e32", "\u0e33"), ("\ufe8d", "\u0627"), ("\ufefb", "\u0644\u0627"), ("\u2163", "IV"), ("a\u2028b", "a b"), ("Օft", "Oft")]
     for a, b in same:
         assert canonical.canonical(a) == canonical.canonical(b), (a, b)
     for a, b in [("e", "é"), ("A", "a"), ("a  b", "a b"), ("–", "-")]:
@@ -172,19 +236,40 @@ def test_same_look_pairs(spark):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), min_size=1, max_size=12))
-def test_term_counts(spark, records):
-    df = spark.createDataFrame([(r, i, 2) for i, r in enumerate(records)], "t array<string>, k long, m int")
-    got = {r.ngram: (r.occurrences, r.records, r.m) for r in frequency.term_counts(df, "t", ["m"], "k").collect()}
-    occurrences, within = Counter(), Counter()
-    for r in records:
-        grams = [" ".join(r[i:j]) for i in range(len(r)) for j in range(i + 1, len(r) + 1)]
-        occurrences.update(grams)
-        within.update(set(grams))
-    assert got == {g: (n, within[g], 2 * n) for g, n in occurrences.items()}
-    whole = {r.ngram: (r.occurrences, r.k) for r in frequency.term_counts(df, "t", ["m"], "k", whole=True).collect()}
-    values = Counter(" ".join(r) for r in records)
-    assert whole == {v: (n, min(i for i, r in enumerate(records) if " ".join(r) == v)) for v, n in values.items()}
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), st.integers(0, 3)), min_size=1, max_size=14))
+def test_term_counts(spark, values):
+    df = spark.createDataFrame([(t, i, 2, rec or None) for i, (t, rec) in enumerate(values)], "t array<string>, k long, m int, rec long")
+    got = frequency.term_counts(df, "t", ["m"], "k", "rec").collect()
+    occurrences, within, least = Counter(), {}, {}
+    for k, (t, rec) in enumerate(values):
+        for g in [(False, " ".join(t[i:j])) for i in range(len(t)) for j in range(i + 1, len(t) + 1)] + [(True, " ".join(t))]:
+            occurrences[g] += 1
+            within.setdefault(g, set()).update({rec} - {0})
+            least.setdefault(g, k)
+    assert len(got) == len(occurrences)
+    assert {(r.whole, r.ngram): (r.occurrences, r.records, r.m, r.k) for r in got} == {g: (n, len(within[g]), 2 * n, least[g]) for g, n in occurrences.items()}
+
+
+def test_intervals_at_borders():
+    """Cut anywhere, sums add up and records are told by name."""
+    random.seed(6)
+    rows = sorted((s, rec, (1, rec)) for rec in range(12) for s in set(frequency.value_suffixes([random.choice("ab") for _ in range(5)], 3)))
+    whole = {tuple(g): (records if names is None else len(names), sums[0]) for g, _, records, sums, names in frequency.intervals(iter(rows))}
+    at = len(rows) // 2
+    parts = [x for half in (rows[:at], rows[at:]) for x in frequency.intervals(iter(half))]
+    total = Counter()
+    told: dict = {}
+    for g, _, records, sums, names in parts:
+        total[tuple(g)] += sums[0]
+        told.setdefault(tuple(g), set()).update(names if names is not None else range(1000, 1000 + records))
+    assert {g: (len(told[g]), n) for g, n in total.items()} == whole
+
+
+def test_suffixes_are_linear():
+    text = [f"w{i % 700}" for i in range(3000)]
+    size = len(" ".join(text))
+    assert sum(map(len, frequency.value_suffixes(text, 16))) < 20 * size
+    assert len(frequency.value_suffixes(text, 16)) == 3001
 
 
 # --- 7
@@ -256,6 +341,36 @@ def test_leaks_against_brute_force():
         assert bool(index.found(" ".join(doc))) == _brute(item, doc), part
 
 
+def test_short_items():
+    index = leaks.Index([(1, "one two three four five six"), (2, "alpha beta"), (3, "word")])
+    assert [x[0] for x in index.found("x two three four y")] == [1]
+    assert index.found("x two three y four") == [] and [x[0] for x in index.found("beta word")] == [2, 3]
+
+
+def test_a_window_that_many_items_share(monkeypatch):
+    monkeypatch.setattr(leaks, "AT_ONCE", 50)
+    common = "once upon a time there was a lonely"
+    index = leaks.Index([(i, f"{common} w{i} x{i} y{i}") for i in range(300)])
+    got = index.found(f"{common} w7 x7 y7 and {common} cat")
+    assert len(got) == 300 and next(x for x in got if x[0] == 7)[1] == 11
+
+
+def test_blocks_give_the_same(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"passage number {i} about the old ferry and its {i} winter apples", "en") for i in range(40)], "item_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, f"Intro. Passage number {i} about the old ferry and its {i} winter apples. End.") for i in range(0, 40, 3)], "doc_id long, text string")
+    once = sorted(map(tuple, leaks.leaks(docs, items).collect()))
+    monkeypatch.setattr(leaks, "BLOCK_TOKENS", 100)
+    assert once and sorted(map(tuple, leaks.leaks(docs, items).collect())) == once
+
+
+def test_removal(spark):
+    items = spark.createDataFrame([(1, "The old ferry pilot sold the winter apples near the river bank", "en")], "item_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "A long beginning of its own, much longer than what comes after it here. The OLD ferry pi-\nlot sold the ｗｉｎｔｅｒ apples near the river bank. The end."), (2, "The old ferry pilot sold the winter apples"), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: r for r in leaks.cleaned(docs, items).collect()}
+    assert set(got) == {1, 2} and got[2].dropped and got[2].text is None
+    assert got[1].text == "A long beginning of its own, much longer than what comes after it here.\nThe end." and not got[1].dropped
+
+
 def test_leaks_of_tables(spark):
     items = spark.createDataFrame([(1, "The old ferry pilot sold the winter apples near the river bank", "en"), (2, None, "en"), (3, "", "en")], "item_id long, text string, lang string")
     docs = spark.createDataFrame([(1, "x OLD ferry, pilot\nsold the ｗｉｎｔｅｒ apples y"), (2, "The old ferry"), (3, None), (4, "")], "doc_id long, text string")
@@ -275,6 +390,12 @@ def lang(spark):
     return garble.language(df)
 
 
+def test_tables_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(garble, "LOAD", 0.0005)
+    df = spark.createDataFrame([(i, f"wört {chr(97 + i % 26)}{chr(97 + i % 23)}{chr(97 + i % 19)}") for i in range(500)], "doc_id long, text string")
+    assert garble.language(df).more > 0
+
+
 def test_garble_round_trip(lang):
     text = "Der Fährmann verkaufte die Äpfel über den größten Fluss."
     russian = "часовщик продал зимние яблоки рядом с бумажной мельницей."
