@@ -9,14 +9,17 @@ WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 TRIM = r"^[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+|[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+$"
 
+LINE_BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
 # Fixed values
 STRUCTURAL_RESIDUES = ("body", "head", "html", "xhtml")
 ROMAN_PAGES = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx")
-LEAK_MARKERS = (
-    "requirements:", "preserve all information", "do not summarize", "do not explain", "do not omit content", "document context for consistency only",
+ECHOES = (
+    "preserve all information", "do not summarize", "do not explain", "do not omit content", "document context for consistency only",
     "context for consistency only", "terminology memory for consistency", "locked terminology for consistency", "保留所有信息", "不要总结", "不要解释",
-    "不要遗漏内容", "仅用于保持一致性的文档背景", "仅用于保持一致性的上下文", "用于保持一致性的术语记忆", "锁定术语", "块类型：", "块类型:",
+    "不要遗漏内容", "仅用于保持一致性的文档背景", "仅用于保持一致性的上下文", "用于保持一致性的术语记忆", "锁定术语",
 )
+LEAK_MARKERS = ("requirements:", *ECHOES, "块类型：", "块类型:")
 CHINESE_CODES = {
     "zh-cn": ("zh-CN", "zh", "zh-Hans", "zh_CN", "zh_Hans", "cmn"),
     "zh-hans": ("zh-Hans", "zh", "zh-CN", "zh_CN", "zh_Hans", "cmn"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.functions.text import LINE_BREAK
+
 
 def segments(lines: DataFrame) -> DataFrame:
     """Adds segment, the number of the run of lines of a book that may be merged: same kind, no headings, and the same file, item and section where both are known."""
@@ -44,7 +46,7 @@ def numbered(groups: DataFrame) -> DataFrame:
 
 def parse_numbered(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, number, value) of the numbered lines of a model's answer; the last line of a number holds, lines without a number are dropped."""
-    lines = df.select(key, F.posexplode(F.split(text, r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]")).alias("pos", "line"))
+    lines = df.select(key, F.posexplode(F.split(text, LINE_BREAK)).alias("pos", "line"))
     pattern = r"^[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]*(?:\[?[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]*([0-9]+)[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]*\]?[\).:：、-]?)[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]*(.+?)[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]*$"
     found = lines.select(key, "pos", F.regexp_extract("line", pattern, 1).alias("n"), F.regexp_extract("line", pattern, 2).alias("value")).filter("n <> '' and value <> ''")
     return found.withColumn("number", F.expr("try_cast(n as bigint)")).filter("number >= 1").groupBy(key, "number").agg(F.max_by("value", "pos").alias("value"))

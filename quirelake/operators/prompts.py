@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,16 +41,15 @@ def document_context(book_title: Column, chapter_heading: Column, file_name: Col
 
 
 def render(text: Column, language: Column, context: Column, terminology: Column, document: Column, template: str = TEMPLATE) -> Column:
-    """The prompt of each row. The text is put in last, so that a text that holds a placeholder's name is not expanded."""
+    """The prompt of each row. The template is cut at its placeholders once, so that values holding a placeholder's name are not expanded."""
     if "{TEXT}" not in template:
         raise ValueError("the template must hold the {TEXT} placeholder")
     blank = F.lit("")
     context, document = F.coalesce(context, blank), F.coalesce(document, blank)
     section = F.when(context == "", "").otherwise(F.concat(F.lit(CONTEXT_LEAD), context, F.lit("\n\n")))
-    out = F.lit(template)
-    for name, value in (("{TARGET_LANGUAGE}", F.coalesce(language, blank)), ("{DOCUMENT_CONTEXT_SECTION}", document), ("{DOCUMENT_CONTEXT}", F.btrim(document)), ("{TERMINOLOGY_SECTION}", F.coalesce(terminology, blank)), ("{CONTEXT_SECTION}", section), ("{CONTEXT}", context), ("{TEXT}", F.coalesce(text, blank))):
-        out = F.replace(out, F.lit(name), value)
-    return out
+    values = {"TARGET_LANGUAGE": F.coalesce(language, blank), "DOCUMENT_CONTEXT_SECTION": document, "DOCUMENT_CONTEXT": F.btrim(document), "TERMINOLOGY_SECTION": F.coalesce(terminology, blank), "CONTEXT_SECTION": section, "CONTEXT": context, "TEXT": F.coalesce(text, blank)}
+    parts = re.split("\\{(" + "|".join(values) + ")\\}", template)
+    return F.concat(*(values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)))
 
 
 def chat(prompt: Column) -> Column:

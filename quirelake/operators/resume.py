@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+CHUNK = 4_096  # lines hashed together
+
+
 def fingerprint(lines: DataFrame) -> DataFrame:
-    """(book_id, line_count, source_sha256): SHA-256 over the lines in order, each closed by a newline."""
+    """(book_id, line_count, source_sha256): SHA-256 over the SHA-256 of each run of CHUNK line numbers, in order; each line is closed by a
+    newline. Only a chunk's text is ever in one row, so a book may be of any size."""
     rows = F.array_sort(F.collect_list(F.struct("line_idx", F.coalesce("text", F.lit("")).alias("text"))))
-    text = F.concat_ws("", F.transform("rows", lambda x: F.concat(x["text"], F.lit("\n"))))
-    return lines.groupBy("book_id").agg(rows.alias("rows")).select("book_id", F.size("rows").alias("line_count"), F.sha2(text, 256).alias("source_sha256"))
+    text = F.concat_ws("", F.transform(rows, lambda x: F.concat(x["text"], F.lit("\n"))))
+    chunks = lines.groupBy("book_id", F.floor(F.col("line_idx") / CHUNK).alias("chunk")).agg(F.sha2(text, 256).alias("hash"), F.count("*").alias("n"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "hash"))), lambda x: x["hash"])
+    return chunks.groupBy("book_id").agg(F.sum("n").cast("int").alias("line_count"), F.sha2(F.array_join(order, ""), 256).alias("source_sha256"))
 
 
 def completed(records: DataFrame, lines: DataFrame) -> DataFrame:

@@ -10,21 +10,33 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.text import WS, normalize_text
 
-# Words that are no terms by themselves, words too general to be terms, kinds that weigh more, titles before names.
+# Words that are no terms by themselves, words too general to be terms, titles before names, kinds that weigh more.
 STOPWORDS = (
-    "a about after again against all am an and any are as at also be been being because before between both but by can could did do does done during each either else even "
-    "ever every first for from had has have he her hers him his how i i'd i'll i'm i've if into is it it's its me my no nor not of off on once only or other our out over same "
-    "she so some should such than that that's the their them then there there's these they this those through to too under up us was we well were what what's when where which "
-    "who who's whom whose why while with would yes you you'd you'll you're you've your yours"
-).split()
-GENERIC = "book door end family friend girl going hall home house know last letter man men more one people police room rooms said say says see still tell tells thing things think time two way wife woman".split()
+    "a", "about", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "also", "be", "been", "being", "because", "before",
+    "between", "both", "but", "by", "can", "could", "did", "do", "does", "done", "during", "each", "either", "else", "even", "ever", "every", "first",
+    "for", "from", "had", "has", "have", "he", "her", "hers", "him", "his", "how", "i", "i'd", "i'll", "i'm", "i've", "if", "into", "is", "it",
+    "it's", "its", "me", "my", "no", "nor", "not", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "same", "she", "so",
+    "some", "should", "such", "than", "that", "that's", "the", "their", "them", "then", "there", "there's", "these", "they", "this", "those",
+    "through", "to", "too", "under", "up", "us", "was", "we", "well", "were", "what", "what's", "when", "where", "which", "who", "who's", "whom",
+    "whose", "why", "while", "with", "would", "yes", "you", "you'd", "you'll", "you're", "you've", "your", "yours",
+)
+GENERIC = (
+    "book", "door", "end", "family", "friend", "girl", "going", "hall", "home", "house", "know", "last", "letter", "man", "men", "one", "more",
+    "people", "police", "room", "rooms", "said", "say", "says", "see", "still", "tell", "tells", "thing", "things", "think", "time", "two", "way",
+    "wife", "woman",
+)
+TITLES = (
+    "captain", "dr", "father", "lady", "lord", "madame", "madam", "miss", "mr", "mrs", "ms", "professor", "reverend", "sir",
+)
 PRIORITY_KINDS = ("heading", "toc", "metadata", "caption")
-TITLES = "captain dr father lady lord madame madam miss mr mrs ms professor reverend sir".split()
-UPPER, LETTER = "A-ZÀ-ÖØ-Þ", "A-Za-zÀ-ÖØ-öø-ÿ"
+# The patterns of the families of terms and of the words of phrases.
+LATIN_UPPER = "A-ZÀ-ÖØ-Þ"
+LATIN_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 ACRONYM = r"\b[A-Z][A-Z0-9&.-]{1,}\b"
-CAPITALIZED = rf"\b[{UPPER}][{LETTER}0-9'’.-]+(?:\s+(?:[{UPPER}][{LETTER}0-9'’.-]+|(?:of|and|the|for|in|on|to|de|la|le|van|von|da|di|du)\b)){{0,5}}"
-HYPHENATED = rf"\b[{LETTER}][{LETTER}]+(?:-[{LETTER}][{LETTER}]+)+\b"
-PHRASE_WORD = rf"[{LETTER}][{LETTER}'’-]{{2,}}"
+CAPITALIZED = rf"\b[{LATIN_UPPER}][{LATIN_LETTER}0-9'’.-]+(?:\s+(?:[{LATIN_UPPER}][{LATIN_LETTER}0-9'’.-]+|(?:of|and|the|for|in|on|to|de|la|le|van|von|da|di|du)\b)){{0,5}}"
+HYPHENATED = rf"\b[{LATIN_LETTER}][{LATIN_LETTER}]+(?:-[{LATIN_LETTER}][{LATIN_LETTER}]+)+\b"
+PHRASE_WORD = rf"[{LATIN_LETTER}][{LATIN_LETTER}'’-]{{2,}}"
+URL = r"(?i)(https?://|www\.)\S+"
 CANDIDATES, MEMORY, RELEVANT = 400, 200, 35
 EDGE = " \t\r\n.,;:!?()[]{}<>\"'“”‘’"
 DASHES = "‐‑‒–—−"
@@ -76,54 +88,72 @@ def with_key(df: DataFrame, c: str) -> DataFrame:
     return df.select("*", F.explode(F.array(key(F.col(c)))).alias("key")).filter("key <> ''")
 
 
+FAMILIES = {"acronym": ACRONYM, "capitalized": CAPITALIZED, "hyphenated": HYPHENATED}
+
+
+def _matches(text: Column, family: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(FAMILIES[family]), F.lit(0))
+
+
 def family_hits(lines: DataFrame, family: str) -> DataFrame:
     """(book_id, line_idx, kind, pos, match) of one family of patterns (acronym, capitalized, hyphenated) in the lines, URLs aside."""
-    pattern = {"acronym": ACRONYM, "capitalized": CAPITALIZED, "hyphenated": HYPHENATED}[family]
-    text = F.regexp_replace("text", r"(?i)(https?://|www\.)\S+", " ")
-    return lines.select("book_id", "line_idx", "kind", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "match"))
+    return lines.select("book_id", "line_idx", "kind", F.posexplode(_matches(F.regexp_replace("text", URL, " "), family)).alias("pos", "match"))
 
 
-def phrase_hits(lines: DataFrame) -> DataFrame:
-    """(book_id, line_idx, pos, phrase): runs of two and three words that neither begin nor end with a stop word, hold at most one, and are not all general."""
-    text = F.regexp_replace("text", r"(?i)(https?://|www\.)\S+", " ")
+def with_words(rows: DataFrame, text: str) -> DataFrame:
+    """Adds w, the lower-case words of phrases with what each is: struct<w, stop, plain>, asked once a word. The one-row generator keeps
+    the optimizer from working the array out again for each run that is cut from it."""
     words = F.transform(F.regexp_extract_all(text, F.lit(PHRASE_WORD), F.lit(0)), F.lower)
-    rows = lines.select("book_id", "line_idx", words.alias("w")).filter(F.size("w") >= 3)
+    known = F.transform(words, lambda w: F.struct(w.alias("w"), w.isin(*STOPWORDS).alias("stop"), singular(w).isin(*STOPWORDS, *GENERIC).alias("plain")))
+    return rows.select("*", F.explode(F.array(known)).alias("w"))
+
+
+def _phrases(w: str) -> Column:
+    """array<string>: the runs of two, then of three words of a line of at least three that neither begin nor end with a stop word, hold at
+    most one, and are not all general."""
+
     def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, n))
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - n), lambda i: ~F.get(w, i)["stop"] & ~F.get(w, i + (n - 1))["stop"] & ~(F.get(w, i)["plain"] & F.get(w, i + 1)["plain"] & F.get(w, i + (n - 1))["plain"]))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(w, i + k)["w"] for k in range(n))))
+
+    return F.when(F.size(w) >= 3, F.concat(runs(2), runs(3))).otherwise(F.array().cast("array<string>"))
+
 
-    grams = None
-    for n in (2, 3):
-        at = runs(n)
-        part = rows.filter(F.size("w") >= n).select("book_id", "line_idx", F.posexplode(at).alias("pos", "g")).withColumn("pos", F.col("pos") + (n - 2) * 1_000_000)
-        grams = part if grams is None else grams.unionByName(part)
-    edge = F.try_element_at("g", F.lit(1)).isin(*STOPWORDS) | F.try_element_at("g", F.lit(-1)).isin(*STOPWORDS)
-    ok = ~edge & (F.size(F.filter("g", lambda w: w.isin(*STOPWORDS))) <= 1) & ~F.forall("g", lambda w: singular(w).isin(*STOPWORDS, *GENERIC))
-    return grams.filter(ok).select("book_id", "line_idx", "pos", F.array_join("g", " ").alias("phrase"))
+def phrase_hits(lines: DataFrame) -> DataFrame:
+    """(book_id, line_idx, pos, phrase) of the runs of two and three words of ``_phrases``."""
+    rows = with_words(lines.select("book_id", "line_idx", F.regexp_replace("text", URL, " ").alias("t")), "t")
+    return rows.select("book_id", "line_idx", F.posexplode(_phrases("w")).alias("pos", "phrase"))
 
 
 def candidates(lines: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(book_id, rank, source, score, count, lines) of the ``limit`` best term candidates of each book. Lines need book_id, line_idx,
-    text, kind (null: body). Scored by occurrences, lines and kinds; shown as first seen. All aggregations are partial before they
-    shuffle; a hot book spreads over its keys until the last ranking of its candidates."""
-    hits = None
-    for i, family in enumerate(("acronym", "capitalized", "hyphenated")):
-        part = family_hits(lines, family).select("book_id", "line_idx", "kind", (F.lit(i) * 1_000_000 + F.col("pos")).alias("pos"), clean(F.col("match")).alias("shown"))
-        hits = part if hits is None else hits.unionByName(part)
-    hits = with_key(hits, "shown").withColumn("ok", allowed(F.col("shown"), F.col("key")))
+    text, kind (null: body). Scored by occurrences, lines and kinds; shown as first seen.
+
+    One pass over the lines finds the hits of all families and the phrases; keys are worked out once a distinct form; hits are added up a
+    line, then a key. All aggregations are partial before they shuffle; a hot book spreads over its keys until its candidates are ranked."""
     kind = F.coalesce("kind", F.lit("body"))
     weight = F.when(kind.isin(*PRIORITY_KINDS), 2).when(kind != "body", 1).otherwise(0)
-    counted = hits.groupBy("book_id", "key").agg(
-        F.count(F.when(F.col("ok"), 1)).alias("n"), F.countDistinct(F.when(F.col("ok"), F.col("line_idx"))).alias("l"), F.sum(F.when(F.col("ok"), weight).otherwise(0)).alias("p"), F.min_by("shown", F.struct("line_idx", "pos")).alias("shown"), F.min(F.struct("line_idx", "pos")).alias("at")
+    rows = lines.select("book_id", "line_idx", weight.alias("weight"), F.explode(F.array(F.regexp_replace("text", URL, " "))).alias("t"))
+    rows = with_words(rows, "t")
+    found = [(_matches(F.col("t"), f), i, False) for i, f in enumerate(FAMILIES)] + [(_phrases("w"), 9, True)]
+
+    def placed(forms: Column, k: int, phrase: bool) -> Column:
+        return F.transform(forms, lambda m, i: F.struct(m.alias("form"), (i + k * 1_000_000).alias("pos"), F.lit(phrase).alias("phrase")))
+
+    hits = F.flatten(F.array(*(placed(*x) for x in found)))
+    in_line = rows.select("book_id", "line_idx", "weight", F.inline(hits)).groupBy("book_id", "line_idx", "form", "phrase").agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.max("weight").alias("weight"))
+    shown = in_line.select("form").distinct().withColumn("shown", clean(F.col("form")))
+    forms = with_key(shown, "shown").withColumn("ok", allowed(F.col("shown"), F.col("key")))
+    own, more = F.col("ok") & ~F.col("phrase"), F.col("phrase")
+    by_line = in_line.join(forms, "form").groupBy("book_id", "key", "line_idx").agg(
+        F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(F.when(own, F.col("n") * F.col("weight"))).alias("p"), F.sum(F.when(more, F.col("n"))).alias("pn"), F.min(F.struct("line_idx", "pos", F.when(more, F.col("form")).otherwise(F.col("shown")).alias("shown"))).alias("first")
+    )
+    total = by_line.groupBy("book_id", "key").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("pn"), F.lit(0)).alias("pn"), F.count("n").alias("l"), F.count("pn").alias("pl"), F.count(F.coalesce("n", "pn")).alias("all"), F.min("first").alias("first")
     )
-    phrases = with_key(phrase_hits(lines), "phrase")
-    repeated = phrases.groupBy("book_id", "key").agg(F.count("*").alias("pn"), F.countDistinct("line_idx").alias("pl"), F.min_by("phrase", F.struct("line_idx", "pos")).alias("phrase"), F.min(F.struct("line_idx", (F.col("pos") + 9_000_000).alias("pos"))).alias("pat"))
-    # lines of a key that has hits of both kinds are counted once
-    line_sets = hits.filter("ok").select("book_id", "key", "line_idx").unionByName(phrases.join(repeated.filter("pn >= 2 and pl >= 2").select("book_id", "key"), ["book_id", "key"], "left_semi").select("book_id", "key", "line_idx")).groupBy("book_id", "key").agg(F.countDistinct("line_idx").alias("lines"))
-    both = counted.join(repeated, ["book_id", "key"], "full").join(line_sets, ["book_id", "key"])
-    strong = (F.col("pn") >= 2) & (F.col("pl") >= 2)
-    n = F.coalesce("n", F.lit(0)) + F.when(strong, F.col("pn")).otherwise(0)
-    shown = F.when(F.col("pat") < F.coalesce("at", "pat"), F.col("phrase")).otherwise(F.coalesce("shown", "phrase"))
-    scored = both.select("book_id", "key", shown.alias("source"), n.alias("count"), "lines", F.coalesce("p", F.lit(0)).alias("p")).filter("count > 0")
+    strong = (F.col("pn") >= 2) & (F.col("pl") >= 2) & allowed(F.col("first.shown"), F.col("key"))
+    count = F.col("n") + F.when(strong, F.col("pn")).otherwise(0)
+    scored = total.select("book_id", "key", F.col("first.shown").alias("source"), count.alias("count"), F.when(strong, F.col("all")).otherwise(F.col("l")).alias("lines"), "p").filter("count > 0")
     single = F.size(F.split("source", " ")) == 1
     acronym = (F.upper("source") == F.col("source")) & F.col("source").rlike(r"\p{L}")
     kept = scored.filter(~((F.col("count") < 2) & (F.col("lines") < 2) & (F.col("p") < 2)) & ~(single & ~acronym & (F.col("lines") < 2)))
@@ -132,14 +162,97 @@ def candidates(lines: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("book_id", "rank", "source", "score", "count", "lines")
 
 
+def name_like(c: Column, k: Column) -> Column:
+    """Whether a source looks like a name: a word of several capitals, a letter beyond ASCII, or a capitalised word that is no stop word."""
+    parts = F.filter(F.split(c, r"[\s/-]+"), lambda p: p != "")
+    capitals = F.exists(parts, lambda p: (F.length(p) > 1) & (F.upper(p) == p) & p.rlike(r"\p{L}"))
+    named = F.exists(parts, lambda p: F.left(p, F.lit(1)).rlike(r"\p{Lu}") & ~F.lower(p).isin(*STOPWORDS))
+    return capitals | c.rlike(r"[^\x00-\x7f]") | named
+
+
+def entry_allowed(source: Column, target: Column, k: Column) -> Column:
+    """Whether an entry may stay in the memory: a single word must look like a name; so may phrases, or be names in the target (its parts
+    joined by a middle dot) or hold no stop word and not be all general."""
+    words = F.filter(F.split(k, " "), lambda w: w != "")
+    stop = F.exists(words, lambda w: w.isin(*STOPWORDS))
+    general = F.forall(words, lambda w: w.isin(*STOPWORDS, *GENERIC))
+    like = name_like(source, k)
+    return allowed(source, k) & F.when(F.size(words) == 1, like).otherwise(like | (F.contains(target, F.lit("·")) & ~stop) | (~stop & ~general))
+
+
 def entries(memory: DataFrame) -> DataFrame:
-    """Usable entries of the memory (book_id, section, ord, source, target), one a key: proper names first, then terms, in order."""
+    """Entries of the memory with both texts (book_id, section, ord, source, target, key), one a key: proper names first, then terms, in order."""
     rows = memory.select("book_id", "section", "ord", F.trim("source").alias("source"), F.trim("target").alias("target")).filter("source <> '' and target <> ''")
     rows = with_key(rows, "source")
     first = Window.partitionBy("book_id", "key").orderBy(F.when(F.col("section") == "proper_names", 0).otherwise(1), "ord", "source", "target")
     return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
+def kept_memory(memory: DataFrame, limit: int = MEMORY) -> DataFrame:
+    """(book_id, section, ord, source, target, alias): the memory as it is written down. Entries that are not allowed go; proper names come
+    first, terms get the rest of ``limit``, then short names: of a name of several parts whose target is joined by middle dots the last
+    part, if no entry has its key."""
+    rows = entries(memory).filter(entry_allowed(F.col("source"), F.col("target"), F.col("key"))).withColumn("alias", F.lit(False))
+    parts = F.filter(F.transform(F.split("source", r"[\s/-]+"), clean), lambda p: p != "")
+    names = rows.filter((F.col("section") == "proper_names") & F.contains("target", F.lit("·"))).withColumn("parts", parts).filter("size(parts) > 1")
+    short = names.select("book_id", "section", "ord", F.element_at("parts", -1).alias("source"), F.trim(F.element_at(F.split("target", "·"), -1)).alias("target"))
+    short = with_key(short, "source").filter(~F.col("key").isin(*STOPWORDS, *TITLES) & (F.col("target") != "") & allowed(F.col("source"), F.col("key")))
+    once = short.withColumn("n", F.row_number().over(Window.partitionBy("book_id", "key").orderBy("ord", "source"))).filter("n = 1").drop("n")
+    new = once.join(rows.select("book_id", "key"), ["book_id", "key"], "left_anti").withColumn("alias", F.lit(True))
+    every = rows.unionByName(new)
+    order = Window.partitionBy("book_id").orderBy("alias", F.when(F.col("section") == "proper_names", 0).otherwise(1), "ord", "source")
+    return every.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).select("book_id", "section", "ord", "source", "target", "alias")
+
+
+# What a model is asked for a memory, and asked again after an answer that can't be read.
+MEMORY_PROMPT = """Prepare a compact terminology memory for translating a book into {language}.
+Choose only useful recurring names, proper nouns, acronyms, and domain terms.
+Prefer named entities: people, families, places, organizations, publishers, works, and distinctive concepts.
+Do not include pronouns, determiners, conjunctions, auxiliary verbs, generic everyday words, or ordinary grammar phrases.
+Bad entries include words or phrases like you, she, but, had been, and the, was the, the house, did you, or what was.
+Do not invent source terms that are not in the candidates.
+Choose one stable target translation for each entity and keep it consistent.
+For people, families, places, publishers, and organizations, include useful short variants or surnames as separate entries when they recur or may appear alone.
+For names with accents or diacritics, treat them as the same recurring proper name instead of dropping them.
+Keep target translations concise and consistent.
+Return at most {limit} total entries.
+
+Return valid JSON with exactly this shape:
+{
+  "terms": [{"source": "...", "target": "..."}],
+  "proper_names": [{"source": "...", "target": "..."}]
+}
+
+Candidate source terms:
+"""
+STRICT_PROMPT = "Your previous response was not valid JSON or did not match the required shape. Return JSON only, with no Markdown fences, no explanation, and no surrounding text."
+LEAST_CANDIDATES = 3
+
+
+def memory_prompts(found: DataFrame, language: str, limit: int = MEMORY) -> DataFrame:
+    """(book_id, prompt) of each book with at least three candidates: the request for its memory with the candidates, best first, as JSON."""
+    quoted = lambda c: F.to_json(F.struct(c.alias("v")))
+    value = F.regexp_extract(quoted(F.col("source")), r'(?s)\A\{"v":(.*)\}\z', 1)
+    entry = F.format_string('{"source": %s, "score": %d, "count": %d, "lines": %d}', value, "score", "count", "lines")
+    rows = found.select("book_id", "rank", entry.alias("entry")).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("rows"))
+    head = MEMORY_PROMPT.replace("{language}", language).replace("{limit}", str(limit))
+    text = F.concat(F.lit(head + "["), F.array_join(F.transform("rows", lambda x: x["entry"]), ", "), F.lit("]"))
+    return rows.filter(F.size("rows") >= LEAST_CANDIDATES).select("book_id", text.alias("prompt"))
+
+
+def ask_memory(prompt: str, generate) -> dict[str, list[dict[str, str]]]:
+    """A model's memory for one prompt. An answer that can't be read is asked for once more, strictly and with what came (its first 2000
+    characters); after that there is none."""
+    answer = generate(prompt)
+    for again in (True, False):
+        try:
+            return parse_memory(answer)
+        except ValueError:
+            if again:
+                answer = generate(f"{STRICT_PROMPT}\n\nPrevious response:\n{answer[:2000]}\n\n{prompt}" if answer else f"{STRICT_PROMPT}\n\n{prompt}")
+    return {"terms": [], "proper_names": []}
+
+
 def match_keys(source: Column) -> Column:
     """Keys under which a source is looked for: its spellings, those of its capitalised parts that may be terms, and of its last part."""
     parts = F.filter(F.transform(F.split(clean(source), r"[\s/-]+"), clean), lambda p: p != "")
@@ -159,12 +272,13 @@ def relevant(lines: DataFrame, memory: DataFrame, limit: int = RELEVANT) -> Data
     keys = entries(memory).withColumn("look", F.explode(match_keys(F.col("source"))))
     pieces = keys.withColumn("shingle", F.array_join(F.filter(F.split("look", "[ -]"), lambda w: w != ""), " ")).filter("shingle <> ''").withColumn("size", F.size(F.split("shingle", " ")))
     sizes = pieces.select("book_id", "size").distinct().groupBy("book_id").agg(F.collect_set("size").alias("sizes"))
-    text = lines.filter(F.length("text") > 0).select("book_id", "line_idx", key(F.col("text")).alias("hay")).filter("hay <> ''")
+    text = lines.filter(F.length("text") > 0).select("book_id", "line_idx", F.explode(F.array(key(F.col("text")))).alias("hay")).filter("hay <> ''")
     # every boundary of words is a shingle border: characters that are no word characters part words
-    words = text.join(sizes, "book_id").withColumn("w", F.filter(F.split("hay", r"[^\p{L}\p{N}_'’]+"), lambda w: w != ""))
-    shingles = words.select("book_id", "line_idx", "hay", "w", F.explode("sizes").alias("n")).filter("size(w) >= n")
-    shingles = shingles.select("book_id", "line_idx", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))).alias("shingle"))
-    hit = shingles.join(pieces.select("book_id", "shingle", "look", "source", "target", "key"), ["book_id", "shingle"])
+    words = text.join(sizes, "book_id").select("book_id", "line_idx", "sizes", F.explode(F.array(F.filter(F.split("hay", r"[^\p{L}\p{N}_'’]+"), lambda w: w != ""))).alias("w"))
+    runs = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.size("w")), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    shingles = words.select("book_id", "line_idx", F.explode(F.array_distinct(runs)).alias("shingle"))  # no text goes along
+    met = shingles.join(pieces.select("book_id", "shingle", "look", "source", "target", "key"), ["book_id", "shingle"]).drop("shingle")
+    hit = met.join(text, ["book_id", "line_idx"])
     padded = F.regexp_replace("hay", r"[^\p{L}\p{N}_'’-]", " ")
     around = F.concat(F.lit(" "), padded, F.lit(" "))
     sure = hit.filter(F.expr("regexp_instr(hay, concat('(^|[^\\\\p{L}\\\\p{N}_])\\\\Q', look, '\\\\E($|[^\\\\p{L}\\\\p{N}_])')) > 0") | F.contains(around, F.concat(F.lit(" "), F.col("look"), F.lit(" "))))
@@ -173,6 +287,7 @@ def relevant(lines: DataFrame, memory: DataFrame, limit: int = RELEVANT) -> Data
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("book_id", "line_idx", "rank", "source", "target")
 
 
+# Fixed value: what stands before the terms of a prompt.
 HEADER = "Locked terminology for consistency. If any source term below appears in the Text section, you MUST use exactly the target translation shown. Do not invent alternative transliterations or mix variants:"
 
 
@@ -183,35 +298,27 @@ def section(found: DataFrame) -> DataFrame:
     return found.groupBy("book_id", "line_idx").agg(text.alias("terminology"))
 
 
+_ENTRY_PARTS = re.compile(r'"(?P<name>terms|proper_names)"\s*:|"(?P<field>source|target)"\s*:\s*(?P<value>"(?:[^"\\]|\\.)*")|(?P<close>\})', re.DOTALL)
+
+
 def parse_memory(answer: str) -> dict[str, list[dict[str, str]]]:
-    """The terms and proper_names of a model's JSON answer; fences, text around it, trailing and missing commas are repaired. Raises ValueError where nothing can be read."""
-    text = re.sub(r"^```\w*\s*|\s*```$", "", answer.lstrip("﻿").strip())
-    a, b = text.find("{"), text.rfind("}")
-    if a < 0 or b <= a:
-        raise ValueError("no JSON object in the answer")
-    body = text[a : b + 1]
-    repaired = re.sub(r",(\s*[}\]])", r"\1", re.sub(r"}(\s*){", r"},\1{", body))
-    repaired = re.sub(r'("(?:source|target)"\s*:\s*"(?:[^"\\]|\\.)*")(\s*)(?="(?:source|target)")', r"\1,\2", repaired)
-    for attempt in (body, repaired):
-        try:
-            got = json.loads(attempt)
-        except json.JSONDecodeError:
-            continue
-        if isinstance(got, dict):
-            return {k: [e for e in map(_entry, got.get(k) or []) if e] for k in ("terms", "proper_names")}
+    """The terms and proper_names of a model's JSON answer. Instead of mending JSON the text is read for what matters: the names of the two
+    lists, source and target strings, and the ends of objects; fences, words around, and missing or surplus commas say nothing.
+    Entries before any list's name are terms. ValueError where there is no object and neither list."""
     out: dict[str, list[dict[str, str]]] = {"terms": [], "proper_names": []}
-    for m in re.finditer(r"\{[^{}]*\}", body):
-        fields = dict(re.findall(r'"(source|target)"\s*:\s*"((?:[^"\\]|\\.)*)"', m.group()))
-        if len(fields) == 2:
-            before = body[: m.start()]
-            out["proper_names" if before.rfind('"proper_names"') > before.rfind('"terms"') else "terms"].append({"source": fields["source"], "target": fields["target"]})
-    if not any(out.values()):
+    section, entry, named = "terms", {}, False
+    for m in _ENTRY_PARTS.finditer(answer):
+        if m["name"]:
+            section, named = m["name"], True
+        elif m["field"]:
+            try:
+                entry[m["field"]] = json.loads(m["value"], strict=False).strip()
+            except json.JSONDecodeError:
+                entry[m["field"]] = m["value"][1:-1].strip()
+        if m["close"] or len(entry) == 2:
+            if entry.get("source") and entry.get("target"):
+                out[section].append(entry)
+            entry = {}
+    if not named and not any(out.values()) or "{" not in answer:
         raise ValueError("no entries in the answer")
     return out
-
-
-def _entry(e) -> dict[str, str] | None:
-    if not isinstance(e, dict):
-        return None  # a bare string has no target
-    source, target = str(e.get("source") or "").strip(), str(e.get("target") or "").strip()
-    return {"source": source, "target": target} if source and target else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
@@ -63,9 +63,9 @@ def grouped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions with one reference."""
+    """Predictions with their references."""
     rows = latest(table(spark, folder, "eval_pairs"), ["pair_id"])
-    return rows.select("system", F.col("pair_id").alias("id"), "pred", F.when(F.size("refs") > 0, F.element_at("refs", 1)).alias("ref"))
+    return rows.select("system", F.col("pair_id").alias("id"), "pred", "refs")
 
 
 def searched(rows: DataFrame, near: DataFrame) -> DataFrame:
@@ -204,9 +204,15 @@ def language_spellings(spark, folder):
     return table(spark, folder, "books").select("book_id", T.epub_language("target_language_code").alias("epub_language"), F.array_join(three, " ").alias("spellings"))
 
 
-@query()
+def _codes_sql() -> str:
+    alias = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(x) for x in v)}]" for k, v in T.CHINESE_CODES.items())
+    return f"""SELECT book_id, array_to_string(list_filter(each, lambda x, i: x <> '' AND list_position(each, x) = i), ' ') AS codes FROM (SELECT book_id, list_concat([r, replace(r, '_', '-'), replace(r, '-', '_')],
+  CASE replace(lower(r), '_', '-') {alias} ELSE [] END, CASE WHEN regexp_matches(r, '[-_]') THEN [regexp_extract(r, '^([^-_]*)', 1)] ELSE [] END) each FROM (SELECT book_id, coalesce(trim(lang), '') r FROM books))"""
+
+
+@query(_codes_sql())
 def language_codes(spark, folder):
-    return table(spark, folder, "books").select("book_id", T.language_codes("lang").alias("codes"))
+    return table(spark, folder, "books").select("book_id", F.array_join(T.language_codes("lang"), " ").alias("codes"))
 
 
 # --- units, sections, groups
@@ -288,17 +294,34 @@ def term_acronyms(spark, folder):
     return _family(spark, folder, "acronym")
 
 
-@query()
+_L, _U = "A-Za-zÀ-ÖØ-öø-ÿ", "A-ZÀ-ÖØ-Þ"
+_CW = rf"[{_U}]\x02?[{_L}0-9''’.-][{_L}0-9''’.\x01\x02-]*"
+_CAP = rf"\x01{_CW}(?:\s+(?:\x01{_CW}|\x01(?:of|and|the|for|in|on|to|de|la|le|van|von|da|di|du)\x02)){{0,5}}"
+_HYP = rf"\x01[{_L}][{_L}]+\x02(?:-\x01[{_L}][{_L}]+\x02)+"
+
+
+@query(_family_sql(_CAP))
 def term_capitalized(spark, folder):
     return _family(spark, folder, "capitalized")
 
 
-@query()
+@query(_family_sql(_HYP))
 def term_hyphenated(spark, folder):
     return _family(spark, folder, "hyphenated")
 
 
-@query()
+_STOP, _PLAIN = (", ".join("'" + w.replace("'", "''") + "'" for w in x) for x in (terms.STOPWORDS, (*terms.STOPWORDS, *terms.GENERIC)))
+
+
+def _singular_sql(w: str) -> str:
+    return f"""CASE WHEN length({w}) <= 4 OR contains({w}, chr(39)) OR contains({w}, '’') THEN {w} WHEN suffix({w}, 'ies') THEN left({w}, length({w}) - 3) || 'y'
+  WHEN suffix({w}, 'es') AND NOT suffix({w}, 'ses') AND NOT suffix({w}, 'xes') THEN left({w}, length({w}) - 2) WHEN suffix({w}, 's') AND NOT suffix({w}, 'ss') AND NOT suffix({w}, 'us') THEN left({w}, length({w}) - 1) ELSE {w} END"""
+
+
+@query(rf"""WITH {LINES}, w AS (SELECT book_id, line_idx, list_transform(regexp_extract_all(regexp_replace(text, '(?i)(https?://|www\.)\S+', ' ', 'g'), '{terms.PHRASE_WORD.replace("'", "''")}'), lambda x: lower(x)) w FROM lines WHERE text IS NOT NULL),
+g AS (SELECT book_id, line_idx, list_slice(w, i, i + n - 1) g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) i FROM (SELECT *, unnest([2, 3]) n FROM w WHERE len(w) >= 3)))
+SELECT book_id, array_to_string(g, ' ') AS phrase, count(*) AS n, count(DISTINCT line_idx) AS lines FROM g
+WHERE g[1] NOT IN ({_STOP}) AND g[-1] NOT IN ({_STOP}) AND len(list_filter(g, lambda x: {_singular_sql('x')} NOT IN ({_PLAIN}))) > 0 GROUP BY 1, 2""")
 def term_phrases(spark, folder):
     return terms.phrase_hits(_term_lines(spark, folder)).groupBy("book_id", "phrase").agg(F.count("*").alias("n"), F.countDistinct("line_idx").alias("lines"))
 
@@ -315,6 +338,21 @@ def memory_entries(spark, folder):
     return rows.withColumn("k", F.lower("source")).dropDuplicates(["book_id", "k", "section", "ord", "source", "target"]).drop("k")
 
 
+@query()
+def memory_kept(spark, folder):
+    """The memory as it is written down: allowed entries, names first, then terms and short names."""
+    return terms.kept_memory(table(spark, folder, "term_memory"))
+
+
+@query()
+def memory_prompts(spark, folder):
+    """The request for each book's memory, from the candidates delivered last."""
+    rows = latest(table(spark, folder, "term_candidates"), ["cand_id"]).filter(F.length(F.trim("source")) > 0)
+    best = Window.partitionBy("book_id").orderBy(F.desc_nulls_last("score"), F.lower("source"), "cand_id")
+    found = rows.select("book_id", "source", F.coalesce("score", F.lit(0)).alias("score"), "count", "lines", F.row_number().over(best).alias("rank")).filter(F.col("rank") <= terms.CANDIDATES)
+    return terms.memory_prompts(found, setting(spark, folder, "llm_target_language"))
+
+
 @query()
 def relevant_terms(spark, folder):
     return relevant(spark, folder)
@@ -328,7 +366,8 @@ def terminology_section(spark, folder):
 # --- resume and integrity
 
 
-@query(f"WITH {LINES} SELECT book_id, CAST(count(*) AS INTEGER) AS line_count, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY line_idx)) AS source_sha256 FROM lines GROUP BY book_id")
+@query(f"""WITH {LINES}, chunks AS (SELECT book_id, line_idx // 4096 AS chunk, count(*) n, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY line_idx)) h FROM lines GROUP BY 1, 2)
+SELECT book_id, CAST(sum(n) AS INTEGER) AS line_count, sha256(string_agg(h, '' ORDER BY chunk)) AS source_sha256 FROM chunks GROUP BY book_id""")
 def source_fingerprint(spark, folder):
     return resume.fingerprint(source(spark, folder))
 
@@ -406,7 +445,21 @@ def translation_plan(spark, folder):
     return grouping.batches(planned, 4).select("book_id", "group_start", "lines", "token_count", "max_new_tokens", "batch")
 
 
-@query()
+def _split_sql() -> str:
+    """Each step cuts one chunk off the rest: after the last of the strongest separator beyond a third, else at the limit."""
+    at = lambda s, keep: f"CASE WHEN instr(w, {s}) > 0 AND length(w) - length({s}) - (instr(reverse(w), reverse({s})) - 1) >= m // 3 THEN length(w) - length({s}) - (instr(reverse(w), reverse({s})) - 1) + {keep} END"
+    cuts = ", ".join(at(f"chr({ord(s)})" if len(s) == 1 else f"'{s}'", len(s.rstrip() or s)) for s in chunking.SEPARATORS)
+    strip = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"""WITH RECURSIVE {LINES}, lim AS (SELECT CAST(value AS INTEGER) m FROM run_settings WHERE setting = 'llm_chunk_chars'),
+long AS (SELECT book_id, line_idx, {strip('text')} t FROM lines, lim WHERE length(text) > m),
+fold AS (SELECT book_id, line_idx, 0 k, CAST(NULL AS VARCHAR) chunk, t rest FROM long
+  UNION ALL SELECT book_id, line_idx, k + 1, {strip('left(rest, c)')}, {strip('substr(rest, c + 1)')} FROM (
+    SELECT *, CASE WHEN length(rest) <= m THEN length(rest) ELSE coalesce({cuts}, m) END c FROM (SELECT *, left(rest, m) w FROM fold, lim WHERE rest <> '')))
+SELECT book_id, line_idx, CAST(row_number() OVER (PARTITION BY book_id, line_idx ORDER BY k) - 1 AS INTEGER) AS chunk_idx, chunk FROM fold WHERE k > 0 AND chunk <> ''
+UNION ALL SELECT book_id, line_idx, 0, text FROM lines, lim WHERE length(text) <= m"""
+
+
+@query(_split_sql())
 def split_chars(spark, folder):
     most = int(setting(spark, folder, "llm_chunk_chars"))
     rows = source(spark, folder).filter("text is not null")
@@ -416,27 +469,49 @@ def split_chars(spark, folder):
 # --- metrics
 
 
-@query()
+_TOK = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(X), '([^\p{L}\p{N}_ ]|[\x{3040}-\x{30ff}\x{3400}-\x{9fff}])', ' \1 ', 'g'), '[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+', ' ', 'g'), ' '), ' '), lambda w: w <> '')"
+_LAST_PAIRS = """SELECT * FROM eval_pairs QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY loaded_at DESC NULLS LAST, pred_path DESC NULLS LAST, line_idx DESC NULLS LAST, system DESC NULLS LAST, src_lang DESC NULLS LAST, target_lang DESC NULLS LAST, original_text DESC NULLS LAST, pred DESC NULLS LAST) = 1"""
+# These tables hold one reference at most; the operators take several.
+_PAIRS = f"""e AS (SELECT system, pair_id, {_TOK.replace('X', 'pred')} p, {_TOK.replace('X', 'refs[1]')} r FROM ({_LAST_PAIRS}) WHERE pred IS NOT NULL AND length(refs[1]) > 0)"""
+
+
+def _gram_sql(side: str, n: int) -> str:
+    gram = " || chr(1) || ".join(f"{side}[i + {k}]" for k in range(n))
+    return f"SELECT pair_id, {gram} g, count(*) c FROM (SELECT pair_id, {side}, unnest(range(1, len({side}) - {n - 2})) i FROM e) GROUP BY 1, 2"
+
+
+def _rouge_sql(n: int) -> str:
+    return f"""WITH {_PAIRS}, a AS ({_gram_sql('p', n)}), b AS ({_gram_sql('r', n)}), m AS (SELECT pair_id, sum(least(a.c, b.c)) m FROM a JOIN b USING (pair_id, g) GROUP BY 1)
+SELECT system, round(avg(coalesce(2 * m / nullif(greatest(len(p) - {n - 1}, 0) + greatest(len(r) - {n - 1}, 0), 0), 0)), 9) AS rouge FROM e LEFT JOIN m USING (pair_id) GROUP BY system"""
+
+
+def _bleu_sql() -> str:
+    parts = [f"a{n} AS ({_gram_sql('p', n)}), b{n} AS ({_gram_sql('r', n)}), m{n} AS (SELECT system, sum(least(a.c, coalesce(b.c, 0))) m, sum(a.c) t FROM a{n} a JOIN e USING (pair_id) LEFT JOIN b{n} b ON a.pair_id = b.pair_id AND a.g = b.g GROUP BY 1)" for n in (1, 2, 3, 4)]
+    joins = " ".join(f"LEFT JOIN m{n} USING (system)" for n in (1, 2, 3, 4))
+    logs = " + ".join(f"CASE WHEN m{n}.m > 0 THEN ln(m{n}.m / m{n}.t) END / 4" for n in (1, 2, 3, 4))
+    return f"""WITH {_PAIRS}, s AS (SELECT system, count(*) pairs, sum(len(p)) pl, sum(len(r)) rl FROM e GROUP BY 1), {", ".join(parts)}
+SELECT system, round(coalesce(exp({logs} + CASE WHEN pl >= rl THEN 0 ELSE 1 - rl / pl END), 0), 9) AS bleu, pairs FROM s {joins}"""
+
+
+@query(_bleu_sql())
 def bleu_corpus(spark, folder):
-    return metrics.bleu(pairs(spark, folder))
+    return metrics.bleu(pairs(spark, folder)).withColumn("bleu", F.round("bleu", 9))
 
 
-_TOK = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(X), '([^\p{L}\p{N}_ ]|[\x{3040}-\x{30ff}\x{3400}-\x{9fff}])', ' \1 ', 'g'), '[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+', ' ', 'g'), ' '), ' '), lambda w: w <> '')"
+@query()
+def sacrebleu_corpus(spark, folder):
+    """With the tokens of mteval-v13a, smoothed, from 0 to 100."""
+    return metrics.bleu(pairs(spark, folder), metrics.words_13a, smooth=True).withColumn("bleu", F.round(100 * F.col("bleu"), 6))
 
 
-@query(f"""WITH e AS (SELECT system, pair_id, {_TOK.replace('X', 'pred')} p, {_TOK.replace('X', 'refs[1]')} r FROM (
-  SELECT * FROM eval_pairs QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY loaded_at DESC NULLS LAST, pred_path DESC NULLS LAST, line_idx DESC NULLS LAST, system DESC NULLS LAST, src_lang DESC NULLS LAST, target_lang DESC NULLS LAST, original_text DESC NULLS LAST, pred DESC NULLS LAST) = 1)
-  WHERE pred IS NOT NULL AND length(refs[1]) > 0),
-p AS (SELECT pair_id, g, count(*) n FROM (SELECT pair_id, unnest(p) g FROM e) GROUP BY 1, 2), r AS (SELECT pair_id, g, count(*) n FROM (SELECT pair_id, unnest(r) g FROM e) GROUP BY 1, 2),
-m AS (SELECT pair_id, sum(least(p.n, r.n)) m FROM p JOIN r USING (pair_id, g) GROUP BY 1)
-SELECT system, round(avg(coalesce(2 * m / (len(p) + len(r)), 0)), 9) AS rouge FROM e LEFT JOIN m USING (pair_id) GROUP BY system""")
+@query(_rouge_sql(1))
 def rouge_1(spark, folder):
     return metrics.rouge(pairs(spark, folder), 1).withColumn("rouge", F.round("rouge", 9))
 
 
-@query()
+@query(_rouge_sql(2))
 def rouge_2(spark, folder):
-    return metrics.rouge(pairs(spark, folder), 2)
+    return metrics.rouge(pairs(spark, folder), 2).withColumn("rouge", F.round("rouge", 9))
 
 
 @query()

@@ -13,21 +13,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.functions.text import ROMAN_PAGES, STRUCTURAL_RESIDUES
 from quirelake.operators.units import infer_kind
 from quirelake.sources.html import Block, Node, blocks, hints, parse, serialize
 
 UNIT = "book string, line int, lines int, unit string, zip_name string, item_id string, block_index int, tag string, unit_mode string, hint string, original_text string"
-_RESIDUE = {"body", "head", "html", "xhtml"}
-_PLAIN = re.compile(r"[\W_]+|[\[(]?\d{1,4}[\])]?\.?|(?:https?://|www\.)\S+|(?=[ivx])(?:x{0,2}(?:ix|iv|v?i{0,3}))", re.IGNORECASE)
-
-
 def source_text(text: str) -> str:
     text = " ".join(text.split())
     return re.sub(r" +([)\]}])", r"\1", re.sub(r"([(\[{]) +", r"\1", re.sub(r" +([,.;:!?])", r"\1", text)))
 
 
 def translatable(text: str) -> bool:
-    return bool(text) and text.lower() not in _RESIDUE and not _PLAIN.fullmatch(text) and not re.match(r"(?:<\?|\??)xml\b", text, re.IGNORECASE)
+    """The rule of ``reject_reason`` for a text that is at hand in Python; tests hold the two against each other."""
+    low = text.lower()
+    numeral = low.strip("[](){}.,;:") in ROMAN_PAGES or re.fullmatch(r"[\[(]?[0-9]{1,4}[\])]?\.?", text)
+    other = re.match(r"(?:<\?|\?)?xml(?!\w)", low) or re.fullmatch(r"(?:https?://|www\.)\S+", low)
+    return any(map(str.isalnum, text)) and low not in STRUCTURAL_RESIDUES and not numeral and not other
 
 
 class Package:

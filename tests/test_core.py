@@ -8,6 +8,8 @@ import zipfile
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
@@ -105,7 +107,7 @@ def test_resume(spark):
     assert [tuple(r) for r in done.collect()] == [(1, 0, "new")]
     groups = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 2, 2), (1, 3, 2)], "book_id long, line_idx int, group_start int")
     assert sorted(tuple(r) for r in resume.regroup(groups, done).collect()) == [(1, 1, 1), (1, 2, 2), (1, 3, 2)]
-    assert resume.fingerprint(src).first().source_sha256 == hashlib.sha256(b"t\n" * 4).hexdigest()
+    assert resume.fingerprint(src).first().source_sha256 == hashlib.sha256(hashlib.sha256(b"t\n" * 4).hexdigest().encode()).hexdigest()
 
 
 def test_chunks():
@@ -128,6 +130,8 @@ def test_prompts(spark):
     df = spark.createDataFrame([("say {CONTEXT}", "near", "", "Bk", "Ch", "f.xhtml", "body")], "t string, c string, s string, b string, h string, f string, k string")
     place = prompts.document_context(F.col("b"), F.col("h"), F.col("f"), F.col("k"))
     got = df.select(prompts.render(F.col("t"), F.lit("German"), F.col("c"), F.col("s"), place).alias("p")).first().p
+    df2 = df.select(prompts.render(F.col("t"), F.lit("German"), F.lit("see {TEXT} and {CONTEXT}"), F.col("s"), F.lit("{TERMINOLOGY_SECTION}")).alias("p")).first().p
+    assert "see {TEXT} and {CONTEXT}" in df2 and "{TERMINOLOGY_SECTION}" in df2 and df2.count("say {CONTEXT}") == 1
     assert "fluent and accurate German" in got and got.endswith("Text:\n\nsay {CONTEXT}") and "Book: Bk\nChapter: Ch\nBlock kind: body" in got and "near\n\n" in got
     with pytest.raises(ValueError):
         prompts.render(F.lit("x"), F.lit("x"), F.lit(""), F.lit(""), F.lit(""), "no placeholder")
@@ -177,12 +181,76 @@ def test_terms_of_the_context(spark, tmp_path):
 
 
 def test_metrics(spark):
-    df = spark.createDataFrame([("s", 1, "the cat sat on the mat", "the cat sat on the mat"), ("s", 2, None, "x"), ("z", 3, "a b", "c d")], "system string, id long, pred string, ref string")
+    df = spark.createDataFrame([("s", 1, "the cat sat on the mat", ["x", "the cat sat on the mat"]), ("s", 2, None, ["x"]), ("z", 3, "a b", ["c d"]), ("z", 4, "a", []), ("z", 5, "a", None)], "system string, id long, pred string, refs array<string>")
     assert {r.system: round(r.bleu, 6) for r in metrics.bleu(df).collect()} == {"s": 1.0, "z": 0.0}
     assert {r.system: r.rouge for r in metrics.rouge(df, 2).collect()} == {"s": 1.0, "z": 0.0}
     got = {r.system: r for r in metrics.sentence_metrics(df).collect()}
     assert got["s"].ter == 0 and got["s"].rouge_l == 1 and got["z"].ter == 1
     assert metrics.edits("c d a b".split(), "a b c d".split()) == 1
+    assert metrics.edits([], ["a"]) == 1 and metrics.edits(["a"], []) == 1 and metrics.edits([], []) == 0
+
+
+def _slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _slow_lcs(a, b):
+    return 0 if not a or not b else _slow_lcs(a[:-1], b[:-1]) + 1 if a[-1] == b[-1] else max(_slow_lcs(a[:-1], b), _slow_lcs(a, b[:-1]))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9), st.integers(0, 8))
+def test_bit_vectors(a, b, k):
+    at = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    states = []
+    assert metrics.distance(a, at, len(b), states) == _slow_distance(a, b)
+    if b and k < len(a):
+        assert metrics.distance(a, at, len(b), states, k) == _slow_distance(a, b)
+    assert metrics.lcs(a, b) == _slow_lcs(a, b)
+    assert metrics.edits(a, b) <= _slow_distance(a, b)
+
+
+def test_words_13a(spark):
+    got = values(spark, lambda c: metrics.words_13a(F.col(c)), 'Hello, "world"! It costs 3.5 - or 1,000-2. &amp; x')[0]
+    assert got == ["Hello", ",", '"', "world", '"', "!", "It", "costs", "3.5", "-", "or", "1,000", "-", "2", ".", "&", "x"]
+
+
+def test_kept_memory(spark):
+    rows = [(1, "proper_names", 1, "Jane Marple", "简·马普尔"), (1, "proper_names", 2, "Marple House", "M"), (1, "terms", 3, "the house", "H"), (1, "terms", 4, "amber", "B"), (1, "terms", 5, "grey stone", "G"), (1, "terms", 6, "x", None)]
+    memory = spark.createDataFrame(rows, "book_id long, section string, ord int, source string, target string")
+    got = [(r.source, r.target, r.alias) for r in terms.kept_memory(memory).orderBy("alias", "ord").collect()]
+    assert got == [("Jane Marple", "简·马普尔", False), ("Marple House", "M", False), ("grey stone", "G", False), ("Marple", "马普尔", True)]
+    assert terms.kept_memory(memory, 2).count() == 2 and terms.kept_memory(memory.limit(0)).count() == 0
+
+
+def test_memory_prompt_and_answers(spark):
+    import json
+
+    found = spark.createDataFrame([(1, i, s, 9 - i, 2, 2) for i, s in enumerate(['Say "x"', "B\\c", "Ä"], 1)] + [(2, 1, "few", 1, 1, 1)], "book_id long, rank int, source string, score int, count int, lines int")
+    got = terms.memory_prompts(found, "German", 7).collect()
+    assert [r.book_id for r in got] == [1] and "into German" in got[0].prompt and "at most 7" in got[0].prompt
+    assert [e["source"] for e in json.loads(got[0].prompt.rsplit("terms:\n", 1)[1])] == ['Say "x"', "B\\c", "Ä"]
+    asked = []
+
+    def generate(prompt):
+        asked.append(prompt)
+        return "sorry" if len(asked) == 1 else '{"terms": [{"source": "a", "target": "b"}]}'
+
+    assert terms.ask_memory("P", generate)["terms"] == [{"source": "a", "target": "b"}] and "Previous response:\nsorry" in asked[1]
+    assert terms.ask_memory("P", lambda p: "no") == {"terms": [], "proper_names": []}
+
+
+def test_one_rule_of_translatable_text(spark):
+    texts = ["xxi", "(iv)", "I", "xx.", "12", "[12].", "12345", "body", "BODY", "<?xml version", "xmlish", "http://a.b/c d", "www.x.y", "—…", "é", "_", "Word", "v. i.", "中"]
+    native = values(spark, T.is_translatable, *texts)
+    assert [epub.translatable(t) for t in texts] == native
 
 
 PAGE = """<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>t</title></head><body><h1>Title</h1>
