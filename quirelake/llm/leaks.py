@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ SHARE, REPLACED = 0.5, 0.1
 BLOCK_TOKENS = 2_000_000  # of items, broadcast at once: about 100 MB
 AT_ONCE = 1 << 20  # pairs of places expanded at once
 
-_TOKEN = regex.compile(r"[\p{Han}]|(?:(?![\p{Han}])[\p{L}\p{M}\p{N}])+")
+_TOKEN = regex.compile(r"\p{Han}|[[\p{L}\p{M}\p{N}]--\p{Han}]+", regex.V1)
 _HAN = regex.compile(r"\p{Han}").match
 _DROP = re.compile(f"[{INVISIBLE}]+")
 _LINE_HYPHEN = regex.compile(r"(?<=\p{Ll})[-‐]\s*\n\s*(?=\p{Ll})")
@@ -76,14 +77,17 @@ def token_places(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def window(tokens: int, sizes: np.ndarray) -> int:
-    """Words of the longest window that any stretch counting as a leak must hold unreplaced. ``sizes``: what each token counts."""
+def window(tokens: int, sizes: np.ndarray) -> tuple[int, int]:
+    """Words of the longest window that any stretch counting as a leak must hold unreplaced, and how many such windows it holds at least.
+    ``sizes``: what each token counts."""
     need = SHARE * int(sizes.sum())
     upto = np.concatenate([[0], np.cumsum(sizes)])
     ends = np.searchsorted(upto, upto[:-1] + need - 1e-9)
     least = int((ends - np.arange(tokens))[ends <= tokens].min(initial=tokens))  # tokens of the shortest stretch that is half of the item
     replaced = int(REPLACED * need + 1e-9)
-    return max(1, min(GRAM, -(-(least - replaced) // (replaced + 1))))
+    gram = max(1, min(GRAM, -(-(least - replaced) // (replaced + 1))))
+    hits = least - gram + 1 - (replaced + 1) * gram  # one more replaced, as a longer stretch may have
+    return gram, max(1, hits // 2 if sizes.max(initial=1) > 1 else hits)
 
 
 class Index:
@@ -94,6 +98,7 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         self.tokens: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
+        self.least: list[int] = []
         parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for item, text in items:
             words = normal_tokens(text or "")
@@ -107,7 +112,8 @@ class Index:
             self.ids.append(item)
             self.tokens.append(tokens)
             self.sizes.append(sizes)
-            n = window(len(words), sizes)
+            n, hits = window(len(words), sizes)
+            self.least.append(hits)
             h = self.hashes(tokens, n)
             parts.setdefault(n, []).append((h, np.full(len(h), k), np.arange(len(h))))
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -134,8 +140,8 @@ class Index:
         return out
 
     def diagonals(self, tokens: np.ndarray) -> list[tuple[int, int]]:
-        """(item, shift) of every window of the document that an item holds; expanded in bounded portions, however many items share a window."""
-        found: set[tuple[int, int]] = set()
+        """(item, shift) of the diagonals with as many windows as a leak must have; expanded in bounded portions, however many items share a window."""
+        found: Counter = Counter()
         for n, (grams, owner, place) in self.grams.items():
             h = self.hashes(tokens, n)
             left = np.searchsorted(grams, h)
@@ -150,10 +156,11 @@ class Index:
                 j = max(i + 1, int(np.searchsorted(upto, upto[i] + AT_ONCE)) - 1)
                 c = count[i:j]
                 k = np.repeat(left[i:j] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(int(c.sum()))
-                pairs = np.unique(np.stack([owner[k], np.repeat(at[i:j], c) - place[k]], axis=1), axis=0)
-                found.update(map(tuple, pairs.tolist()))
+                pairs, hits = np.unique((owner[k] << 32) + np.repeat(at[i:j], c) - place[k] + (1 << 31), return_counts=True)
+                found.update(dict(zip(pairs.tolist(), hits.tolist())))
                 i = j
-        return sorted(found)
+        split = ((x >> 32, (x & 0xFFFFFFFF) - (1 << 31), n) for x, n in found.items())
+        return sorted((item, shift) for item, shift, n in split if n >= self.least[item])
 
     def found(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, matched words of the item's stretch, first token, last token + 1) of the items that ``text`` holds."""
