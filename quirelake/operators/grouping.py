@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import LINE_BREAK
@@ -19,14 +19,15 @@ def segments(lines: DataFrame) -> DataFrame:
     return lines.withColumn("segment", F.sum(apart.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
 
 
-def merge_groups(lines: DataFrame, most: int) -> DataFrame:
+def merge_groups(lines: DataFrame, most: int, size: Column | None = None) -> DataFrame:
     """Adds group_start, the first line of each line's group: greedily, a line joins the group before it if it is at most ``most``
     characters, the group stays within ``most``, and both are in one segment. Lines longer than ``most`` stand alone or open a group.
 
     Greedy packing is no prefix sum, so each segment is folded; cutting into segments first keeps the folds short and parallel.
-    Null texts count no characters."""
+    Null texts count no characters. ``size`` is what counts instead of characters, where it is given."""
+    size = F.coalesce(F.length("text"), F.lit(0)) if size is None else size
     cut = segments(lines)
-    runs = cut.groupBy("book_id", "segment").agg(F.array_sort(F.collect_list(F.struct("line_idx", F.coalesce(F.length("text"), F.lit(0)).alias("n")))).alias("run"))
+    runs = cut.groupBy("book_id", "segment").agg(F.array_sort(F.collect_list(F.struct("line_idx", size.alias("n")))).alias("run"))
     start = F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("chars"), F.array().cast("array<struct<line_idx:int,group_start:int>>").alias("done"))
 
     def step(acc, x):

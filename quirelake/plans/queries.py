@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators import chunking, cleaning, grouping, lines, metrics, prompts, resume, terms, units
+from quirelake.operators import answers, chunking, cleaning, grouping, lines, metrics, prompts, resume, terms, units
 from quirelake.operators.delivery import latest
 from quirelake.session import cut, table
 
@@ -173,9 +175,9 @@ def reject_reasons(spark, folder):
 
 
 @query(f"""WITH {LINES}, n AS (SELECT book_id, line_idx, text, coalesce({_norm('text')}, '') t FROM lines)
-SELECT b.lang, count(*) AS lines, count(*) FILTER ({REASON} IS NULL) AS translatable, CAST(sum(length(text)) AS BIGINT) AS chars FROM n JOIN books b USING (book_id) GROUP BY b.lang""")
+SELECT b.lang, count(*) AS lines, count(*) FILTER ({REASON} IS NULL) AS translatable, CAST(sum(length(text)) AS BIGINT) AS chars FROM n LEFT JOIN books b USING (book_id) GROUP BY b.lang""")
 def translatable_filter(spark, folder):
-    rows = source(spark, folder).join(table(spark, folder, "books").select("book_id", "lang"), "book_id")
+    rows = source(spark, folder).join(table(spark, folder, "books").select("book_id", "lang"), "book_id", "left")
     return rows.groupBy("lang").agg(F.count("*").alias("lines"), F.count(F.when(T.is_translatable("text"), 1)).alias("translatable"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -263,9 +265,10 @@ def context_window(spark, folder):
     return grouping.context(source(spark, folder), int(setting(spark, folder, "context_window")))
 
 
-@query("""SELECT doc_id, CAST(least(512, greatest(64, CAST(ceil(n_chars // 4 * 1.6) AS INTEGER) + 32 + 8)) AS INTEGER) AS budget FROM documents WHERE n_chars IS NOT NULL""")
+@query("""SELECT doc_id, CAST(least(512, greatest(64, CAST(ceil(coalesce(length(text), 0) // 4 * 1.6) AS INTEGER) + 32 + 8)) AS INTEGER) AS budget FROM documents""")
 def token_budget(spark, folder):
-    return table(spark, folder, "documents").filter("n_chars is not null").select("doc_id", T.output_budget(F.expr("n_chars div 4"), F.lit(1), 512).cast("int").alias("budget"))
+    tokens = F.expr("coalesce(length(text), 0) div 4")
+    return table(spark, folder, "documents").select("doc_id", T.output_budget(tokens, F.lit(1), 512).cast("int").alias("budget"))
 
 
 # --- terms
@@ -417,6 +420,72 @@ def doc_context_section(spark, folder):
     return sectioned(spark, folder).select("book_id", "line_idx", prompts.document_context(F.col("book_title"), F.col("chapter_heading"), F.col("file_name"), F.col("kind")).alias("document"))
 
 
+# --- groups within a token budget, their prompts and answers
+
+BUDGET_GROUPS = GROUPS.replace("coalesce(length(text), 0) n", "CAST(coalesce(ceil(length(text) / 4.0), 0) AS INTEGER) + 4 n").replace("merge_max_chars", "llm_input_max_length")
+
+
+@query(f"WITH RECURSIVE {LINES}, {UNITS}, {SECTIONS}, {SEGMENTS}, {BUDGET_GROUPS} SELECT f.book_id, f.line_idx, f.group_start, n.n > m AS over FROM fold f JOIN numbered n USING (book_id, segment, i), lim")
+def budget_groups(spark, folder):
+    return answers.budget_groups(sectioned(spark, folder), int(setting(spark, folder, "llm_input_max_length")))
+
+
+@query(f"""WITH RECURSIVE {LINES}, {UNITS}, {SECTIONS}, {SEGMENTS}, {GROUPS},
+r AS (SELECT book_id, line_idx, coalesce(text, '') text, row_number() OVER (PARTITION BY book_id ORDER BY line_idx) i FROM lines),
+g AS (SELECT f.book_id, f.group_start, min(r.i) a, max(r.i) z FROM fold f JOIN r ON r.book_id = f.book_id AND r.line_idx = f.line_idx GROUP BY 1, 2),
+n AS (SELECT g.book_id, g.group_start, k, CASE WHEN k < 0 THEN 'Previous block ' || k || ': ' ELSE 'Next block +' || k || ': ' END || r.text t
+  FROM (SELECT *, unnest([-2, -1, 1, 2]) k FROM g) g JOIN r ON r.book_id = g.book_id AND r.i = CASE WHEN k < 0 THEN a ELSE z END + k)
+SELECT g.book_id, g.group_start, coalesce(string_agg(t, chr(10) ORDER BY k), '') AS context FROM g LEFT JOIN n USING (book_id, group_start) GROUP BY 1, 2""")
+def group_contexts(spark, folder):
+    rows = cut(grouped(spark, folder).select("book_id", "line_idx", "text", "group_start"))
+    return answers.group_contexts(rows, rows, int(setting(spark, folder, "context_window")))
+
+
+def group_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """(book_id, group_start, line_idxs, texts, frame) of each group within the token budget: its prompt with a slot for the text; context
+    at its ends, terms of text and context, place of its first line."""
+    rows = sectioned(spark, folder)
+    rows = cut(rows.join(answers.budget_groups(rows, int(setting(spark, folder, "llm_input_max_length")) // 2).drop("over"), ["book_id", "line_idx"]))
+    near = answers.group_contexts(rows, rows, int(setting(spark, folder, "context_window")))
+    line = F.struct("line_idx", F.coalesce("text", F.lit("")).alias("text"), "book_title", "chapter_heading", "file_name", "kind")
+    groups = rows.groupBy("book_id", "group_start").agg(F.array_sort(F.collect_list(line)).alias("rows")).join(near, ["book_id", "group_start"])
+    whole = groups.select("book_id", F.col("group_start").alias("line_idx"), F.concat_ws("\n", F.transform("rows", lambda x: x["text"]), "context").alias("text"))
+    found = terms.section(terms.relevant(whole, table(spark, folder, "term_memory"))).withColumnRenamed("line_idx", "group_start")
+    first = F.col("rows")[0]
+    place = prompts.document_context(first["book_title"], first["chapter_heading"], first["file_name"], first["kind"])
+    frame = prompts.render(F.lit(answers.SLOT), F.lit(setting(spark, folder, "llm_target_language")), F.col("context"), F.col("terminology"), place)
+    return groups.join(found, ["book_id", "group_start"], "left").select("book_id", "group_start", F.transform("rows", lambda x: x["line_idx"]).alias("line_idxs"), F.transform("rows", lambda x: x["text"]).alias("texts"), frame.alias("frame"))
+
+
+@query()
+def prompt_groups(spark, folder):
+    """The prompt of every group."""
+    text = F.array_join(F.transform("texts", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), "\n")
+    return group_frames(spark, folder).select("book_id", "group_start", F.replace("frame", F.lit(answers.SLOT), text).alias("prompt"))
+
+
+class SmallLetters:
+    """A stand-in for a model: answers in small letters; of every group of five or more it forgets the last line, so that its lines are asked for singly."""
+
+    def generate(self, prompts: list[str], max_new_tokens: int) -> list[str]:
+        out = []
+        for prompt in prompts:
+            lines = re.split(r"\n(?=\[\d+\] )", "\n" + prompt.rsplit("Text:\n\n", 1)[1])[1:]
+            out.append("\n".join(x.replace("\n", " ").lower() for x in (lines[:-1] if len(lines) >= 5 else lines)))
+        return out
+
+
+@query(f"WITH {LINES} SELECT book_id, line_idx, {_norm('lower(text)')} AS text FROM lines WHERE {_norm('coalesce(text, ' + repr('') + ')')} <> ''")
+def answers_resolved(spark, folder):
+    """Every line's answer, by group or singly, from a stand-in that answers in small letters; lines without text are not compared."""
+    nothing = F.lit("")
+    bare = prompts.render(F.lit(answers.SLOT), F.lit(setting(spark, folder, "llm_target_language")), nothing, nothing, nothing)
+    records = group_frames(spark, folder).withColumn("bare", bare).withColumn("max_new_tokens", T.output_budget(F.lit(100), F.size("texts"), 2048).cast("int"))
+    got = answers.resolve(records, SmallLetters, 16 * int(setting(spark, folder, "llm_input_max_length")))
+    asked = source(spark, folder).filter(T.normalize_text(F.coalesce("text", F.lit(""))) != "").select("book_id", "line_idx")
+    return got.join(asked, ["book_id", "line_idx"], "left_semi").select("book_id", "line_idx", T.normalize_text("text").alias("text"))
+
+
 @query()
 def prompt_render(spark, folder):
     """The prompt of every line by itself, with context, terms and place."""

@@ -298,6 +298,38 @@ def test_stream_append(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_answers(spark):
+    from quirelake.operators import answers
+
+    assert answers.parsed(answers.numbered(["阿尔法。", "b"]), 2) == ["阿尔法。", "b"] and answers.parsed("[1] a", 2) is None and answers.parsed("", 1) is None
+
+    class Model:
+        """Forgets the last of several lines; answers 'mute' without a number."""
+
+        def generate(self, prompts, most):
+            text = prompts[0].split("T:", 1)[1]
+            lines = text.split("\n")
+            return ["just words" if "mute" in text and len(lines) == 1 else "\n".join(x.upper() for x in (lines[:-1] if len(lines) > 2 else lines))]
+
+    frame = f"Context.\nT:{answers.SLOT}"
+    long = "one two three. " * 30
+    rows = [(1, 0, [0, 1], ["a", "b"], frame, "T:" + answers.SLOT, 64), (1, 2, [2, 3, 4], ["c", "mute", "d"], frame, "T:" + answers.SLOT, 64), (1, 5, [5], [long], frame, "T:" + answers.SLOT, 64)]
+    records = spark.createDataFrame(rows, "book_id long, group_start int, line_idxs array<int>, texts array<string>, frame string, bare string, max_new_tokens int")
+    got = {r.line_idx: (r.text, r.asked) for r in answers.resolve(records, Model, 40, chunk=60).collect()}
+    assert got[0] == ("A", "group") and got[1] == ("B", "group") and got[2] == ("C", "single") and got[3] == ("just words", "raw") and got[4] == ("D", "single")
+    assert got[5][1] == "chunks" and "".join(got[5][0].split()) == "".join(long.upper().split())
+
+
+def test_budget_groups(spark):
+    from quirelake.operators import answers
+
+    df = spark.createDataFrame([(1, i, "x" * n, None, None, None, None) for i, n in enumerate([8, 8, 400, 4])] + [(1, 4, None, None, None, None, None)], LINE)
+    got = sorted((r.line_idx, r.group_start, r.over) for r in answers.budget_groups(df, 20).collect())
+    assert got == [(0, 0, False), (1, 0, False), (2, 2, True), (3, 3, False), (4, 3, False)]
+    near = {r.group_start: r.context for r in answers.group_contexts(df, answers.budget_groups(df, 20), 1).collect()}
+    assert near[0] == "Next block +1: " + "x" * 400 and near[3] == "Previous block -1: " + "x" * 400
+
+
 def test_translate(spark):
     from quirelake.streaming import results
 
