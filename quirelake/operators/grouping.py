@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import LINE_BREAK
+from quirelake.operators import ordered
+from quirelake.session import cut
 
 
 def segments(lines: DataFrame) -> DataFrame:
     """Adds segment, the number of the run of lines of a book that may be merged: same kind, no headings, and the same file, item and section where both are known."""
-    w = Window.partitionBy("book_id").orderBy("line_idx")
-    kind, last = F.coalesce(F.col("kind"), F.lit("body")), F.lag(F.coalesce(F.col("kind"), F.lit("body"))).over(w)
-    apart = (last.isNull()) | (kind != last) | (kind == "heading")
-    for c in ("file_name", "item_id", "section_group"):
-        if c in lines.columns:
-            apart = apart | F.coalesce(F.lag(c).over(w) != F.col(c), F.lit(False))
-    return lines.withColumn("segment", F.sum(apart.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    known = [c for c in ("file_name", "item_id", "section_group") if c in lines.columns]
+    rows = cut(lines.withColumns({"__block": ordered.block(), "__kind": F.coalesce(F.col("kind"), F.lit("body"))}))
+    near = ordered.previous(rows, ["__kind", *known])
+    apart = F.col("__first") | (F.col("__kind") != F.col("prev___kind")) | (F.col("__kind") == "heading")
+    for c in known:
+        apart = apart | F.coalesce(F.col(f"prev_{c}") != F.col(c), F.lit(False))
+    summed = ordered.running(near.withColumn("__apart", apart.cast("int")), ["__apart"])
+    return summed.select(*lines.columns, F.col("sum___apart").cast("int").alias("segment"))
 
 
 def merge_groups(lines: DataFrame, most: int, size: Column | None = None) -> DataFrame:
@@ -26,8 +29,7 @@ def merge_groups(lines: DataFrame, most: int, size: Column | None = None) -> Dat
     Greedy packing is no prefix sum, so each segment is folded; cutting into segments first keeps the folds short and parallel.
     Null texts count no characters. ``size`` is what counts instead of characters, where it is given."""
     size = F.coalesce(F.length("text"), F.lit(0)) if size is None else size
-    cut = segments(lines)
-    runs = cut.groupBy("book_id", "segment").agg(F.array_sort(F.collect_list(F.struct("line_idx", size.alias("n")))).alias("run"))
+    runs = segments(lines).groupBy("book_id", "segment").agg(F.array_sort(F.collect_list(F.struct("line_idx", size.alias("n")))).alias("run"))
     start = F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("chars"), F.array().cast("array<struct<line_idx:int,group_start:int>>").alias("done"))
 
     def step(acc, x):

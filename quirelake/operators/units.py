@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.operators import ordered
+from quirelake.session import cut
+
 # Hints of ids and classes, and tags, in the order they win.
 HINTS = {
     "toc": ("nav", "toc", "contents", "table-of-contents"),
@@ -45,20 +48,15 @@ def sections(lines: DataFrame) -> DataFrame:
     """Adds section_group, chapter_heading and book_title to lines (book_id, line_idx, item_id, kind, text).
 
     section_group rises by one at each new item and after each heading; metadata lines have 0. chapter_heading is the last non-empty
-    heading of the item so far, the heading's own row included. book_title is the first non-empty opf_title. Windows are
-    partitioned by book; the order within a book is the meaning."""
-    book = Window.partitionBy("book_id").orderBy("line_idx")
-    before = book.rowsBetween(Window.unboundedPreceding, -1)
-    item = Window.partitionBy("book_id", "item_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.col("item_id").isNotNull() & (~F.col("item_id").eqNullSafe(F.lag("item_id").over(book)))
-    marked = lines.withColumn("starts", starts.cast("int")).withColumn("heads", F.coalesce(F.col("kind") == "heading", F.lit(False)).cast("int"))
-    group = F.coalesce(F.sum("heads").over(before), F.lit(0)) + F.sum("starts").over(book.rowsBetween(Window.unboundedPreceding, 0))
-    heading = F.last(F.when((F.col("heads") == 1) & (F.coalesce(F.col("text"), F.lit("")) != ""), F.col("text")), ignorenulls=True).over(item)
-    title = F.first(F.when((F.col("kind") == "opf_title") & (F.coalesce(F.col("text"), F.lit("")) != ""), F.col("text")), ignorenulls=True)
-    whole = Window.partitionBy("book_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        marked.withColumn("section_group", F.when(F.col("item_id").isNull(), 0).otherwise(group).cast("int"))
-        .withColumn("chapter_heading", F.when(F.col("item_id").isNotNull(), heading))
-        .withColumn("book_title", title.over(whole))
-        .drop("starts", "heads")
-    )
+    heading of the item so far, the heading's own row included. book_title is the first non-empty opf_title. Worked out in blocks of
+    lines (``ordered``); the lines are stored once, as each block's edge is read from them."""
+    filled = F.coalesce(F.col("text"), F.lit("")) != ""
+    rows = ordered.previous(cut(lines.withColumn("__block", ordered.block())), ["item_id"])
+    starts = F.col("item_id").isNotNull() & (F.col("__first") | ~F.col("item_id").eqNullSafe(F.col("prev_item_id")))
+    marked = rows.withColumns({"__starts": starts.cast("int"), "__heads": F.coalesce(F.col("kind") == "heading", F.lit(False)).cast("int")}).drop("prev_item_id", "__first")
+    summed = ordered.running(marked, ["__starts", "__heads"])
+    headed = ordered.last_seen(summed.withColumn("__head", F.when((F.col("__heads") == 1) & filled, F.col("text"))), "item_id", "__head", "__heading")
+    titles = lines.filter((F.col("kind") == "opf_title") & filled).groupBy("book_id").agg(F.min_by("text", "line_idx").alias("book_title"))
+    known, group = F.col("item_id").isNotNull(), F.col("sum___heads") - F.col("__heads") + F.col("sum___starts")
+    placed = headed.withColumns({"section_group": F.when(known, group).otherwise(0).cast("int"), "chapter_heading": F.when(known, F.col("__heading"))})
+    return placed.join(titles, "book_id", "left").select(*lines.columns, "section_group", "chapter_heading", "book_title")

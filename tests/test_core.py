@@ -84,6 +84,25 @@ def test_groups(spark):
     assert grouping.merge_groups(df.limit(0), 10).count() == 0
 
 
+def test_blocks_of_a_book_give_the_same(spark, monkeypatch):
+    import random
+
+    from quirelake.operators import ordered
+
+    random.seed(8)
+    rows, item = [], None
+    for i in range(60):
+        if random.random() < 0.2:
+            item = random.choice([None, "a", "b", "c"])
+        kind = random.choice(["heading", "body", None, "opf_title"])
+        rows.append((1, i, random.choice(["x", "", None, f"t{i}"]), kind, item, random.choice(["f", "g", None]), random.choice([0, 1])))
+    df = spark.createDataFrame(rows, LINE)
+    once = [sorted(map(str, f().collect())) for f in (lambda: units.sections(df.drop("section_group")), lambda: grouping.segments(df))]
+    monkeypatch.setattr(ordered, "BLOCK", 7)
+    assert [sorted(map(str, f().collect())) for f in (lambda: units.sections(df.drop("section_group")), lambda: grouping.segments(df))] == once
+    assert units.sections(df.drop("section_group").limit(0)).count() == 0 and grouping.segments(df.limit(0)).count() == 0
+
+
 def test_numbered_round_trip(spark):
     rows = spark.createDataFrame([(1, 0, 0, "阿尔法。"), (1, 1, 0, "b"), (1, 2, 2, None)], "book_id long, line_idx int, group_start int, text string")
     made = {r.group_start: r.numbered for r in grouping.numbered(rows).collect()}
