@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.operators import chunking, cleaning, grouping
+from quirelake.operators import chunking, cleaning, grouping, ordered
+from quirelake.session import cut
 
 SLOT = "\x00"  # stands in a prompt's frame for the text
 # Fixed value: a numbered line of an answer.
@@ -53,12 +54,9 @@ def group_contexts(lines: DataFrame, groups: DataFrame, window: int) -> DataFram
     """(book_id, group_start, context): up to ``window`` lines before each group's first and after its last line, labelled by their distance."""
     if window <= 0:
         return groups.select("book_id", "group_start").distinct().withColumn("context", F.lit(""))
-    w = Window.partitionBy("book_id").orderBy("line_idx")
-
-    def near(step, name: str, sign: str, order: range) -> Column:
-        return F.concat_ws("\n", *(F.when(step("line_idx", k).over(w).isNotNull(), F.concat(F.lit(f"{name} block {sign}{k}: "), step(F.coalesce("text", F.lit("")), k).over(w))) for k in order))
-
-    sides = lines.select("book_id", "line_idx", near(F.lag, "Previous", "-", range(window, 0, -1)).alias("before"), near(F.lead, "Next", "+", range(1, window + 1)).alias("after"))
+    rows = ordered.overlapping(cut(lines.select("book_id", "line_idx", "text")), window)
+    before, after = grouping.sides(window)
+    sides = rows.select("book_id", "line_idx", "__ghost", F.concat_ws("\n", *before).alias("before"), F.concat_ws("\n", *after).alias("after")).filter("not __ghost").drop("__ghost")
     both = groups.select("book_id", "line_idx", "group_start").join(sides, ["book_id", "line_idx"]).groupBy("book_id", "group_start").agg(F.min_by("before", "line_idx").alias("b"), F.max_by("after", "line_idx").alias("a"))
     return both.select("book_id", "group_start", F.concat_ws("\n", F.when(F.col("b") != "", F.col("b")), F.when(F.col("a") != "", F.col("a"))).alias("context"))
 

@@ -59,16 +59,22 @@ def context(lines: DataFrame, window: int) -> DataFrame:
     """(book_id, line_idx, context): up to ``window`` lines before and after each line, labelled by their distance."""
     if window <= 0:
         return lines.select("book_id", "line_idx", F.lit("").alias("context"))
-    w = Window.partitionBy("book_id").orderBy("line_idx")
-    parts = []
-    for k in range(window, 0, -1):
-        parts.append(F.when(F.lag("line_idx", k).over(w).isNotNull(), F.concat(F.lit(f"Previous block -{k}: "), F.lag(F.coalesce("text", F.lit("")), k).over(w))))
-    for k in range(1, window + 1):
-        parts.append(F.when(F.lead("line_idx", k).over(w).isNotNull(), F.concat(F.lit(f"Next block +{k}: "), F.lead(F.coalesce("text", F.lit("")), k).over(w))))
-    return lines.select("book_id", "line_idx", F.concat_ws("\n", *parts).alias("context"))
+    rows = ordered.overlapping(cut(lines.select("book_id", "line_idx", "text")), window)
+    before, after = sides(window)
+    return rows.select("book_id", "line_idx", "__ghost", F.concat_ws("\n", *before, *after).alias("context")).filter("not __ghost").drop("__ghost")
+
+
+def sides(window: int) -> tuple[list[Column], list[Column]]:
+    """The labelled lines before and after each line of ``ordered.overlapping`` parts, null where there is none."""
+    w = Window.partitionBy("book_id", "__part").orderBy("line_idx")
+
+    def near(step, label: str, k: int) -> Column:
+        return F.when(step("line_idx", k).over(w).isNotNull(), F.concat(F.lit(label), step(F.coalesce("text", F.lit("")), k).over(w)))
+
+    return [near(F.lag, f"Previous block -{k}: ", k) for k in range(window, 0, -1)], [near(F.lead, f"Next block +{k}: ", k) for k in range(1, window + 1)]
 
 
 def batches(records: DataFrame, size: int) -> DataFrame:
     """Adds batch: records of like token_count together, ``size`` to a batch, so that little is padded. Batches are counted within a book."""
-    w = Window.partitionBy("book_id").orderBy("token_count", "group_start")
-    return records.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    ranked = ordered.ranks(records, "token_count", "group_start")
+    return ranked.withColumn("batch", F.floor((F.col("__rank") - 1) / size).cast("int")).drop("__rank")

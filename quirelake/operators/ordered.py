@@ -56,3 +56,25 @@ def last_seen(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     edges = each.select("book_id", key, "__block", F.last(F.col("h.v"), ignorenulls=True).over(before).alias("__v"))
     own = F.last(column, ignorenulls=True).over(within(key).rowsBetween(Window.unboundedPreceding, 0))
     return _handed(df, edges, ["book_id", key]).withColumn(name, F.coalesce(own, "__v")).drop("__v")
+
+
+def overlapping(df: DataFrame, margin: int) -> DataFrame:
+    """Lines in parts of BLOCK lines each (column __part), with __ghost set on copies of the ``margin`` lines before and after a part, so
+    that a window over (book_id, __part) sees every line's neighbours; drop the ghosts afterwards."""
+    size = max(BLOCK, margin)
+    counted = running(df.withColumns({"__block": block(), "__one": F.lit(1)}), ["__one"])
+    at, place = F.floor((F.col("sum___one") - 1) / size), (F.col("sum___one") - 1) % size
+    parts = F.filter(F.array(at, F.when(place < margin, at - 1), F.when(place >= size - margin, at + 1)), lambda x: x.isNotNull())
+    spread = counted.withColumn("__home", at).withColumn("__part", F.explode(parts))
+    return spread.withColumn("__ghost", F.col("__part") != F.col("__home")).drop("__block", "__one", "sum___one", "__home")
+
+
+def ranks(df: DataFrame, by: str, then: str) -> DataFrame:
+    """Adds __rank, each row's place (from 1) in its book by the number columns ``by`` and ``then``: places within a value of ``by`` and a block of
+    ``then``, and the rows before these."""
+    marked = df.withColumn("__block", block(F.col(then)))
+    total = marked.groupBy("book_id", by, "__block").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("book_id").orderBy(by, "__block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = total.select("book_id", by, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("book_id", by, "__block").orderBy(then))
+    return _handed(marked, edges, ["book_id", by]).withColumn("__rank", own + F.col("__before")).drop("__block", "__before")

@@ -97,9 +97,12 @@ def test_blocks_of_a_book_give_the_same(spark, monkeypatch):
         kind = random.choice(["heading", "body", None, "opf_title"])
         rows.append((1, i, random.choice(["x", "", None, f"t{i}"]), kind, item, random.choice(["f", "g", None]), random.choice([0, 1])))
     df = spark.createDataFrame(rows, LINE)
-    once = [sorted(map(str, f().collect())) for f in (lambda: units.sections(df.drop("section_group")), lambda: grouping.segments(df))]
+    records = df.selectExpr("book_id", "line_idx as group_start", "line_idx % 5 as token_count")
+    every = (lambda: units.sections(df.drop("section_group")), lambda: grouping.segments(df), lambda: grouping.context(df.filter("line_idx % 3 > 0"), 2), lambda: grouping.batches(records, 4))
+    once = [sorted(map(str, f().collect())) for f in every]
     monkeypatch.setattr(ordered, "BLOCK", 7)
-    assert [sorted(map(str, f().collect())) for f in (lambda: units.sections(df.drop("section_group")), lambda: grouping.segments(df))] == once
+    assert [sorted(map(str, f().collect())) for f in every] == once
+    assert len(once[2]) == 40 and len(once[3]) == 60
     assert units.sections(df.drop("section_group").limit(0)).count() == 0 and grouping.segments(df.limit(0)).count() == 0
 
 
