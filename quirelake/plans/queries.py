@@ -70,15 +70,10 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("system", F.col("pair_id").alias("id"), "pred", "refs")
 
 
-def searched(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """Lines with their context after a newline: the text that is searched for terms."""
-    whole = rows.select("book_id", "line_idx", "text").join(near, ["book_id", "line_idx"])
-    return whole.select("book_id", "line_idx", F.concat_ws("\n", F.coalesce("text", F.lit("")), "context").alias("text"))
-
-
-def relevant(spark: SparkSession, folder: str) -> DataFrame:
-    rows = source(spark, folder)
-    return terms.relevant(searched(rows, grouping.context(rows, int(setting(spark, folder, "context_window")))), table(spark, folder, "term_memory"))
+def matched(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms of each line and its context."""
+    places = table(spark, folder, "source_lines").select("book_id", "line_idx")
+    return terms.matched(source(spark, folder), table(spark, folder, "term_memory"), int(setting(spark, folder, "context_window")), places=places)
 
 
 # --- SQL parts
@@ -358,12 +353,12 @@ def memory_prompts(spark, folder):
 
 @query()
 def relevant_terms(spark, folder):
-    return relevant(spark, folder)
+    return terms.ranked(matched(spark, folder))
 
 
 @query()
 def terminology_section(spark, folder):
-    return terms.section(relevant(spark, folder))
+    return terms.section(matched(spark, folder))
 
 
 # --- resume and integrity
@@ -449,8 +444,8 @@ def group_frames(spark: SparkSession, folder: str) -> DataFrame:
     near = answers.group_contexts(rows, rows, int(setting(spark, folder, "context_window")))
     line = F.struct("line_idx", F.coalesce("text", F.lit("")).alias("text"), "book_title", "chapter_heading", "file_name", "kind")
     groups = rows.groupBy("book_id", "group_start").agg(F.array_sort(F.collect_list(line)).alias("rows")).join(near, ["book_id", "group_start"])
-    whole = groups.select("book_id", F.col("group_start").alias("line_idx"), F.concat_ws("\n", F.transform("rows", lambda x: x["text"]), "context").alias("text"))
-    found = terms.section(terms.relevant(whole, table(spark, folder, "term_memory"))).withColumnRenamed("line_idx", "group_start")
+    found = terms.matched(rows, table(spark, folder, "term_memory"), int(setting(spark, folder, "context_window")), unit="group_start")
+    found = terms.section(found).withColumnRenamed("line_idx", "group_start")
     first = F.col("rows")[0]
     place = prompts.document_context(first["book_title"], first["chapter_heading"], first["file_name"], first["kind"])
     frame = prompts.render(F.lit(answers.SLOT), F.lit(setting(spark, folder, "llm_target_language")), F.col("context"), F.col("terminology"), place)
@@ -491,7 +486,7 @@ def prompt_render(spark, folder):
     """The prompt of every line by itself, with context, terms and place."""
     rows = sectioned(spark, folder)
     near = grouping.context(rows, int(setting(spark, folder, "context_window")))
-    found = terms.section(terms.relevant(searched(rows, near), table(spark, folder, "term_memory")))
+    found = terms.section(matched(spark, folder))
     whole = rows.join(near, ["book_id", "line_idx"]).join(found, ["book_id", "line_idx"], "left")
     place = prompts.document_context(F.col("book_title"), F.col("chapter_heading"), F.col("file_name"), F.col("kind"))
     return whole.select("book_id", "line_idx", prompts.render(F.col("text"), F.lit(setting(spark, folder, "llm_target_language")), F.col("context"), F.col("terminology"), place).alias("prompt"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import io
+import random
 import re
 import zipfile
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators import chunking, cleaning, grouping, lines, metrics, prompts, resume, terms, units
+from quirelake.operators import chunking, cleaning, grouping, lines, metrics, ordered, prompts, resume, terms, units
 from quirelake.operators.delivery import latest
 from quirelake.sources import epub, html
 
@@ -370,3 +371,43 @@ def test_registry():
 
     q, o = entry.queries(), entry.oracle_sql()
     assert "translation_plan" in q and set(o) <= set(q)
+
+
+ODD = ("foo", "foos", "bar", "bars", "dogs", "bus", "next", "block", "previous", "1", "2", "-", "–", "'", "’", "‘", '"', ".", "...", "!", "#", "_", "/", " ", " ", "\n", "ß", "Σ", "ÉS", "o'x", "has", "ies", "cats-", "-cats", "é", " ", "中文", "")
+
+
+@pytest.mark.parametrize("window,unit,block", [(0, 1, 65_536), (2, 1, 3), (2, 3, 5), (1, 4, 65_536), (0, 3, 65_536)])
+def test_terms_of_units_are_those_of_the_whole_text(spark, monkeypatch, window, unit, block):
+    """Lines are normalised and shuffled once; what is found must be what the key of unit and context, put together first, holds."""
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    rnd = random.Random(window * 10 + unit)
+    texts = {(b, 3 * i): None if rnd.random() < 0.05 else "".join(rnd.choice(ODD) + rnd.choice(("", "", " ", " ")) for _ in range(rnd.randint(0, 5))) for b in range(30) for i in range(rnd.randint(1, 12))}
+    sources = ["foo", "Foo Bars", "foo-bar", "Dogs", "Bus", "next", "Block 1", "2 foo", "foo previous", "O'x", "has", "Foo-has", "Cats", "ss", "Σ", "ÉS", "中文", "bar Foo dogs", "1", "foo'", "cats-cats"]
+    memory = spark.createDataFrame([(b, "terms", i, s, "t") for b in range(30) for i, s in enumerate(sources)], "book_id long, section string, ord int, source string, target string")
+    places = {b: [i for c, i in sorted(texts) if c == b] for b in range(30)}
+    start = {(b, i): at[k - k % unit] for b, at in places.items() for k, i in enumerate(at)}
+    wholes = []
+    for b, at in places.items():
+        for k in range(0, len(at), unit):
+            own, before, after = at[k : k + unit], at[max(k - window, 0) : k], at[k + unit : k + unit + window]
+            near = [f"Previous block -{len(before) - n}: {texts[b, i] or ''}" for n, i in enumerate(before)] + [f"Next block +{n + 1}: {texts[b, i] or ''}" for n, i in enumerate(after)]
+            wholes.append((b, own[0], "\n".join([texts[b, i] or "" for i in own] + ["\n".join(near)])))
+    hays = spark.createDataFrame(wholes, "book_id long, line_idx int, text string").select("book_id", "line_idx", terms.key(F.col("text")).alias("hay")).collect()
+    looks = terms.entries(memory).filter("book_id = 0").select("source", terms.match_keys(F.col("source")).alias("looks")).collect()
+    expected = {}
+    for r in hays:
+        words = " " + " ".join(w for w in re.split("[ -]", r.hay) if w) + " "
+        hit = {e.source for e in looks for x in e.looks if " " + " ".join(w for w in re.split("[ -]", x) if w) + " " in words and re.search(f"(?:^|[' -]){re.escape(x)}(?:$|[' -])", r.hay)}
+        if hit:
+            expected[r.book_id, r.line_idx] = sorted(hit, key=lambda s: (-len(s), s.lower(), s))
+    lines = spark.createDataFrame([(b, i, t, start[b, i]) for (b, i), t in texts.items()], "book_id long, line_idx int, text string, start int")
+    got = {(r.book_id, r.line_idx): [t.source for t in r.terms] for r in terms.matched(lines, memory, window, unit="start").collect()}
+    assert got == expected and len(expected) > 20
+
+
+def test_no_word_run_is_shuffled_for_terms(spark):
+    """A line goes through one shuffle, with its words once: runs of words joined with the terms made relevant_terms fail at 1 GB by time."""
+    df = spark.createDataFrame([(1, 0, "a foo of bars")], "book_id long, line_idx int, text string")
+    memory = spark.createDataFrame([(1, "terms", 0, "Foo of bars", "F")], "book_id long, section string, ord int, source string, target string")
+    plan = terms.relevant(df, memory)._jdf.queryExecution().optimizedPlan().toString()
+    assert "shingle" not in plan and plan.count("RepartitionByExpression") == 1
