@@ -411,3 +411,13 @@ def test_no_word_run_is_shuffled_for_terms(spark):
     memory = spark.createDataFrame([(1, "terms", 0, "Foo of bars", "F")], "book_id long, section string, ord int, source string, target string")
     plan = terms.relevant(df, memory)._jdf.queryExecution().optimizedPlan().toString()
     assert "shingle" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_sections_of_terms_need_no_second_grouping(spark):
+    """The terms of a line come in one row, in order; terminology_section gathered them again and failed at 1 GB by time."""
+    df = spark.createDataFrame([(1, 0, "Anna Bell met Tom."), (1, 1, "nobody")], "book_id long, line_idx int, text string")
+    memory = spark.createDataFrame([(1, "terms", i, s, t) for i, (s, t) in enumerate((("Tom", "T"), ("Anna Bell", "A")))], "book_id long, section string, ord int, source string, target string")
+    found = terms.matched(df, memory)
+    got = terms.section(found)
+    count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    assert [(r.line_idx, r.terminology) for r in got.collect()] == [(0, terms.HEADER + "\n- Anna Bell => A\n- Tom => T\n\n")] and count(got) == count(found)
