@@ -57,11 +57,16 @@ def parse_numbered(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def context(lines: DataFrame, window: int) -> DataFrame:
     """(book_id, line_idx, context): up to ``window`` lines before and after each line, labelled by their distance."""
+    return with_context(lines.select("book_id", "line_idx", "text"), window).drop("text")
+
+
+def with_context(lines: DataFrame, window: int) -> DataFrame:
+    """Lines with their context (``context``) as a column more: it is put together last, and never shuffled."""
     if window <= 0:
-        return lines.select("book_id", "line_idx", F.lit("").alias("context"))
-    rows = ordered.overlapping(cut(lines.select("book_id", "line_idx", "text")), window)
+        return lines.withColumn("context", F.lit(""))
+    rows = ordered.overlapping(cut(lines), window)
     before, after = sides(window)
-    return rows.select("book_id", "line_idx", "__ghost", F.concat_ws("\n", *before, *after).alias("context")).filter("not __ghost").drop("__ghost")
+    return rows.select(*lines.columns, "__ghost", F.concat_ws("\n", *before, *after).alias("context")).filter("not __ghost").drop("__ghost")
 
 
 def sides(window: int) -> tuple[list[Column], list[Column]]:

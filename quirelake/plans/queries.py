@@ -484,12 +484,11 @@ def answers_resolved(spark, folder):
 @query()
 def prompt_render(spark, folder):
     """The prompt of every line by itself, with context, terms and place."""
-    rows = sectioned(spark, folder)
-    near = grouping.context(rows, int(setting(spark, folder, "context_window")))
-    found = terms.section(matched(spark, folder))
-    whole = rows.join(near, ["book_id", "line_idx"]).join(found, ["book_id", "line_idx"], "left")
     place = prompts.document_context(F.col("book_title"), F.col("chapter_heading"), F.col("file_name"), F.col("kind"))
-    return whole.select("book_id", "line_idx", prompts.render(F.col("text"), F.lit(setting(spark, folder, "llm_target_language")), F.col("context"), F.col("terminology"), place).alias("prompt"))
+    rows = sectioned(spark, folder).select("book_id", "line_idx", "text", place.alias("place"))
+    rows = rows.join(terms.section(matched(spark, folder)), ["book_id", "line_idx"], "left")
+    whole = grouping.with_context(rows, int(setting(spark, folder, "context_window")))
+    return whole.select("book_id", "line_idx", prompts.render(F.col("text"), F.lit(setting(spark, folder, "llm_target_language")), F.col("context"), F.col("terminology"), F.col("place")).alias("prompt"))
 
 
 @query(f"""WITH RECURSIVE {LINES}, {UNITS}, {SECTIONS}, {SEGMENTS}, {GROUPS}, {DONE},

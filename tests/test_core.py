@@ -421,3 +421,11 @@ def test_sections_of_terms_need_no_second_grouping(spark):
     got = terms.section(found)
     count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
     assert [(r.line_idx, r.terminology) for r in got.collect()] == [(0, terms.HEADER + "\n- Anna Bell => A\n- Tom => T\n\n")] and count(got) == count(found)
+
+
+def test_context_is_put_beside_the_other_columns(spark):
+    """prompt_render joined each line's context to it by key and failed at 1 GB by time; now lines bring all they need to their context."""
+    df = spark.createDataFrame([(1, i, t, f"place {i}") for i, t in enumerate(["a", None, "c"])], "book_id long, line_idx int, text string, place string")
+    got = {r.line_idx: (r.place, r.context) for r in grouping.with_context(df, 1).collect()}
+    assert got == {0: ("place 0", "Next block +1: "), 1: ("place 1", "Previous block -1: a\nNext block +1: c"), 2: ("place 2", "Previous block -1: ")}
+    assert {r.context for r in grouping.with_context(df, 0).collect()} == {""}
