@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.operators import chunking, cleaning, grouping, ordered
@@ -52,13 +52,28 @@ def parsed(answer: str, expected: int) -> list[str] | None:
 
 def group_contexts(lines: DataFrame, groups: DataFrame, window: int) -> DataFrame:
     """(book_id, group_start, context): up to ``window`` lines before each group's first and after its last line, labelled by their distance."""
+    rows = lines.select("book_id", "line_idx", "text").join(groups.select("book_id", "line_idx", "group_start"), ["book_id", "line_idx"], "left")
+    edges = with_sides(rows, window).filter("group_start is not null")
+    return edges.groupBy("book_id", "group_start").agg(context_of_sides().alias("context"))
+
+
+def with_sides(lines: DataFrame, window: int) -> DataFrame:
+    """Adds before to the first line of each group and after to its last: up to ``window`` lines, labelled by their distance; null elsewhere,
+    so that little is carried on. Lines need group_start; a group's lines are neighbours."""
     if window <= 0:
-        return groups.select("book_id", "group_start").distinct().withColumn("context", F.lit(""))
-    rows = ordered.overlapping(cut(lines.select("book_id", "line_idx", "text")), window)
+        return lines.withColumns({"before": F.lit(None).cast("string"), "after": F.lit(None).cast("string")})
+    rows = ordered.overlapping(cut(lines), window)
     before, after = grouping.sides(window)
-    sides = rows.select("book_id", "line_idx", "__ghost", F.concat_ws("\n", *before).alias("before"), F.concat_ws("\n", *after).alias("after")).filter("not __ghost").drop("__ghost")
-    both = groups.select("book_id", "line_idx", "group_start").join(sides, ["book_id", "line_idx"]).groupBy("book_id", "group_start").agg(F.min_by("before", "line_idx").alias("b"), F.max_by("after", "line_idx").alias("a"))
-    return both.select("book_id", "group_start", F.concat_ws("\n", F.when(F.col("b") != "", F.col("b")), F.when(F.col("a") != "", F.col("a"))).alias("context"))
+    w = Window.partitionBy("book_id", "__part").orderBy("line_idx")
+    first, last = (~step("group_start").over(w).eqNullSafe(F.col("group_start")) for step in (F.lag, F.lead))
+    sides = rows.select(*lines.columns, "__ghost", F.when(first, F.concat_ws("\n", *before)).alias("before"), F.when(last, F.concat_ws("\n", *after)).alias("after"))
+    return sides.filter("not __ghost").drop("__ghost")
+
+
+def context_of_sides() -> Column:
+    """The context of a group from the columns of ``with_sides``, to aggregate with."""
+    b, a = F.max("before"), F.max("after")
+    return F.concat_ws("\n", F.when(b != "", b), F.when(a != "", a))
 
 
 def budget_groups(lines: DataFrame, budget: int, cost: Column | None = None) -> DataFrame:

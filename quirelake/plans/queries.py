@@ -441,13 +441,14 @@ def group_frames(spark: SparkSession, folder: str) -> DataFrame:
     at its ends, terms of text and context, place of its first line."""
     rows = sectioned(spark, folder)
     rows = cut(rows.join(answers.budget_groups(rows, int(setting(spark, folder, "llm_input_max_length")) // 2).drop("over"), ["book_id", "line_idx"]))
-    near = answers.group_contexts(rows, rows, int(setting(spark, folder, "context_window")))
-    line = F.struct("line_idx", F.coalesce("text", F.lit("")).alias("text"), "book_title", "chapter_heading", "file_name", "kind")
-    groups = rows.groupBy("book_id", "group_start").agg(F.array_sort(F.collect_list(line)).alias("rows")).join(near, ["book_id", "group_start"])
-    found = terms.matched(rows, table(spark, folder, "term_memory"), int(setting(spark, folder, "context_window")), unit="group_start")
+    window = int(setting(spark, folder, "context_window"))
+    at_first = F.when(F.col("line_idx") == F.col("group_start"), F.struct("book_title", "chapter_heading", "file_name", "kind"))
+    sided = answers.with_sides(rows.select("book_id", "line_idx", "group_start", "text", at_first.alias("first")), window)
+    line = F.struct("line_idx", F.coalesce("text", F.lit("")).alias("text"))
+    groups = sided.groupBy("book_id", "group_start").agg(F.array_sort(F.collect_list(line)).alias("rows"), F.max("first").alias("first"), answers.context_of_sides().alias("context"))
+    found = terms.matched(rows, table(spark, folder, "term_memory"), window, unit="group_start")
     found = terms.section(found).withColumnRenamed("line_idx", "group_start")
-    first = F.col("rows")[0]
-    place = prompts.document_context(first["book_title"], first["chapter_heading"], first["file_name"], first["kind"])
+    place = prompts.document_context(F.col("first.book_title"), F.col("first.chapter_heading"), F.col("first.file_name"), F.col("first.kind"))
     frame = prompts.render(F.lit(answers.SLOT), F.lit(setting(spark, folder, "llm_target_language")), F.col("context"), F.col("terminology"), place)
     return groups.join(found, ["book_id", "group_start"], "left").select("book_id", "group_start", F.transform("rows", lambda x: x["line_idx"]).alias("line_idxs"), F.transform("rows", lambda x: x["text"]).alias("texts"), frame.alias("frame"))
 

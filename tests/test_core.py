@@ -429,3 +429,15 @@ def test_context_is_put_beside_the_other_columns(spark):
     got = {r.line_idx: (r.place, r.context) for r in grouping.with_context(df, 1).collect()}
     assert got == {0: ("place 0", "Next block +1: "), 1: ("place 1", "Previous block -1: a\nNext block +1: c"), 2: ("place 2", "Previous block -1: ")}
     assert {r.context for r in grouping.with_context(df, 0).collect()} == {""}
+
+
+def test_sides_stand_at_the_ends_of_groups_alone(spark, monkeypatch):
+    """prompt_groups carried the context of every line and joined it to the lines again: it failed at 1 GB by time."""
+    from quirelake.operators import answers
+
+    monkeypatch.setattr(ordered, "BLOCK", 2)
+    df = spark.createDataFrame([(1, i, t, g) for i, (t, g) in enumerate((("a", 0), ("b", 0), ("c", 0), (None, 3), ("e", 4)))], "book_id long, line_idx int, text string, group_start int")
+    got = {r.line_idx: (r.before, r.after) for r in answers.with_sides(df, 1).collect()}
+    assert got == {0: ("", None), 1: (None, None), 2: (None, "Next block +1: "), 3: ("Previous block -1: c", "Next block +1: e"), 4: ("Previous block -1: ", "")}
+    near = {r.group_start: r.context for r in answers.group_contexts(df.drop("group_start"), df.select("book_id", "line_idx", "group_start"), 1).collect()}
+    assert near == {0: "Next block +1: ", 3: "Previous block -1: c\nNext block +1: e", 4: "Previous block -1: "}
