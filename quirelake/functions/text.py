@@ -85,7 +85,8 @@ def is_note_marker(c: Column | str) -> Column:
 def has_prompt_leak(c: Column | str) -> Column:
     """Whether a model's output echoes the prompt."""
     t = F.lower(F.replace(F.replace(F.coalesce(_col(c), F.lit("")), F.lit(r"\n"), F.lit("\n")), F.lit(r"\r"), F.lit("\n")))
-    return F.exists(F.array(*map(F.lit, LEAK_MARKERS)), lambda m: F.contains(t, m))
+    starts = "".join(sorted({m[0] for m in LEAK_MARKERS}))  # all markers in one pass over the text
+    return t.rlike(f"(?=[{starts}])(?:" + "|".join(rf"\Q{m}\E" for m in LEAK_MARKERS) + ")")
 
 
 def compact(c: Column | str, limit: int) -> Column:

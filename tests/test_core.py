@@ -441,3 +441,10 @@ def test_sides_stand_at_the_ends_of_groups_alone(spark, monkeypatch):
     assert got == {0: ("", None), 1: (None, None), 2: (None, "Next block +1: "), 3: ("Previous block -1: c", "Next block +1: e"), 4: ("Previous block -1: ", "")}
     near = {r.group_start: r.context for r in answers.group_contexts(df.drop("group_start"), df.select("book_id", "line_idx", "group_start"), 1).collect()}
     assert near == {0: "Next block +1: ", 3: "Previous block -1: c\nNext block +1: e", 4: "Previous block -1: "}
+
+
+def test_a_leak_is_looked_for_in_one_pass(spark):
+    """Each of the markers put the answer into small letters again; answers_resolved failed at 1 GB by time."""
+    texts = [f"x{m.upper()} y" for m in T.LEAK_MARKERS] + [r"a\nREQUIREMENTS:", "requirements", "text", "", None]
+    assert values(spark, T.has_prompt_leak, *texts) == [any(m in (t or "").lower() for m in T.LEAK_MARKERS) for t in texts]
+    assert "lambda" not in spark.range(1).select(T.has_prompt_leak(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
