@@ -448,3 +448,37 @@ def test_a_leak_is_looked_for_in_one_pass(spark):
     texts = [f"x{m.upper()} y" for m in T.LEAK_MARKERS] + [r"a\nREQUIREMENTS:", "requirements", "text", "", None]
     assert values(spark, T.has_prompt_leak, *texts) == [any(m in (t or "").lower() for m in T.LEAK_MARKERS) for t in texts]
     assert "lambda" not in spark.range(1).select(T.has_prompt_leak(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+
+
+def _terms_found(rows, window, limit):
+    """What the search for terms gives for (book, part, kind, line, unit, ghost, five texts, flags) in order: {(book, unit): sources}."""
+    import pyarrow as pa
+
+    kinds = [*[pa.int64()] * 2, pa.int32(), *[pa.int64()] * 2, pa.bool_(), *[pa.string()] * 4, pa.int32()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [str(i) for i in range(len(kinds))])
+    return {(r["book_id"], r["line_idx"]): [t["source"] for t in r["terms"]] for out in terms._found(window, limit)(iter([batch])) for r in out.to_pylist()}
+
+
+def _term_rows(looks, lines):
+    key = [(1, 0, 0, 0, 0, False, look, source, source.lower(), "T", 0) for look, source in looks]
+    return key + [(1, 0, 1, i, i, False, text, None, None, None, 0) for i, text in enumerate(lines)]
+
+
+def test_a_key_of_many_terms_is_looked_at_once(monkeypatch):
+    """A line with a word that many names of its book share was tried with each of them; terminology_section failed at 1 GB by time."""
+    names, tried, stands = [f"N{i} office" for i in range(300)], [], terms._stands
+    monkeypatch.setattr(terms, "_stands", lambda *a: tried.append(a) or stands(*a))
+    got = _terms_found(_term_rows([(look, s) for s in names for look in (s.lower(), "office")], ["the office of n7"] * 20), 0, 35)
+    best = sorted(names, key=lambda s: (-len(s), s.lower(), s))[:35]
+    assert got == {(1, i): best for i in range(20)} and len(tried) <= 2 * 20
+
+
+@pytest.mark.parametrize("window", [0, 2])
+def test_the_best_terms_are_the_first_of_all(window):
+    """Only as many entries as are asked for are kept of a key; what a line gets must be the first of all that it would get."""
+    rnd = random.Random(window)
+    words = ["ab", "cd", "ef's", "gh-ij", "next", "1", "office", "co"]
+    looks = sorted({(" ".join(rnd.choices(words, k=rnd.randint(1, 2))), f"{rnd.choice('XyZ') * rnd.randint(1, 4)}{i % 60}") for i in range(400)})
+    rows = _term_rows(looks, [" ".join(rnd.choices(words, k=rnd.randint(0, 4))) for _ in range(60)])
+    every = _terms_found(rows, window, 1_000_000)
+    assert max(map(len, every.values())) > 40 and _terms_found(rows, window, 7) == {k: v[:7] for k, v in every.items()}
